@@ -2,7 +2,8 @@
 
 Rows are ordered by a hash of their text, so equal texts lie together. A size-weighted sample of
 keys gives splitters at its quantiles; the exact bytes of every range are then summed, ranges that
-hold too much are split again by a sample of their own, and shards take runs of whole ranges. Groups
+hold too much are split again by a sample of their own, and shards take runs of whole ranges; a few
+ranges then move from the fullest shard to the emptiest. Groups
 of equal texts too large for a range are ranges by themselves; those larger than a shard's part are
 split by a hash of the id.
 """
@@ -172,4 +173,25 @@ def _pack(
             middle = reached + held[r][0] / 2
             to[r] = min(shards - 1, int(np.searchsorted(ends, middle, side="right")))
             reached += held[r][0]
+    _level(held, {base + i for base, pieces, size in large if size <= part for i in range(pieces)}, to, shards)
     return to
+
+
+def _level(held: dict[int, tuple[int, int]], whole: set[int], to: dict[int, int], shards: int) -> None:
+    """Moves single ranges, but not those of a group that is kept whole, from the fullest shard to the emptiest."""
+    load, own = [0] * shards, [set() for _ in range(shards)]
+    for r, (b, _) in held.items():
+        load[to[r]] += b
+        if r not in whole:
+            own[to[r]].add(r)
+    for _ in range(8 * shards):
+        most, least = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+        gap = load[most] - load[least]
+        r = min(own[most], key=lambda r: (abs(held[r][0] - gap / 2), r), default=None)
+        if r is None or not 0 < held[r][0] < gap:
+            break
+        for s, sign in ((most, -1), (least, 1)):
+            load[s] += sign * held[r][0]
+        own[most].remove(r)
+        own[least].add(r)
+        to[r] = least
