@@ -278,7 +278,9 @@ def _prefix_pairs(scratch: Scratch, members: DataFrame, sets: DataFrame) -> Data
 
     Shingles are ordered by how often their counter, one of 2 ** ORDER_BITS, is hit by all members'
     sets, then by hash. Any fixed order gives the same links; this one keeps common shingles out of
-    the prefixes. A set of n has n - ceil(0.75 n) + 1 first shingles.
+    the prefixes. A set of n has n - ceil(0.75 n) + 1 first shingles. Of a pair's shared shingles the
+    first one has all the others in what is left of either set from there on; a shingle after which
+    too little is left to reach the threshold needs no pair.
     """
     own = scratch.save(members.join(sets, "node"), "own")
     mask = (1 << ORDER_BITS) - 1
@@ -313,12 +315,13 @@ def _prefix_pairs(scratch: Scratch, members: DataFrame, sets: DataFrame) -> Data
                         pa.array(np.full(first, node.as_py(), np.int64)),
                         pa.array(np.full(first, component.as_py(), np.int64)),
                         pa.array(np.full(first, n, np.int64)),
+                        pa.array(n - np.arange(first, dtype=np.int64)),
                     ],
-                    names=["shingle", "node", "component", "n"],
+                    names=["shingle", "node", "component", "n", "rest"],
                 )
 
     rows = scratch.save(
-        own.select("node", "component", "set").mapInArrow(prefixes, "shingle long, node long, component long, n long"), "prefixes"
+        own.select("node", "component", "set").mapInArrow(prefixes, "shingle long, node long, component long, n long, rest long"), "prefixes"
     )
     several = scratch.save(
         rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle"), "shingles"
@@ -329,7 +332,8 @@ def _prefix_pairs(scratch: Scratch, members: DataFrame, sets: DataFrame) -> Data
         right,
         (F.col("l.shingle") == F.col("r.shingle"))
         & (F.col("l.component") < F.col("r.component"))
-        & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * PERCENT),
+        & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * PERCENT)
+        & (F.least("l.rest", "r.rest") * (100 + PERCENT) >= (F.col("l.n") + F.col("r.n")) * PERCENT),
     ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
