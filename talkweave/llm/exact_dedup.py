@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # texts of repeated keys only; the row that a group is compared with is one row for each key
         members = scratch.save(
             rows.withColumn("key", F.substring(content_hash(F.col("norm")), 1, key_bytes))
-            .join(groups.select("key", "keep"), "key"),
+            .join(groups.select("key", "keep").hint("merge"), "key"),  # the same plan at every size
             "members",
         )
         leaders = scratch.save(
