@@ -1,5 +1,411 @@
 """All registered queries of the library and their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talkweave.functions import text as X
+from talkweave.operators import evals, segments, series, signals
+from talkweave.operators.intervals import greedy_mark, snap_to_words
+from talkweave.plans import clips
+from talkweave.sources.transcripts import documents_as_transcripts, exploded_words, table
+from talkweave.streaming import lifecycle
+
 QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+SQL: dict[str, str] = {}
+FLAGSHIP = "clips_validated"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_as_transcripts(_docs(spark, sf_dir))
+
+
+_W = r"""
+ws AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda x: x <> '') AS l FROM documents),
+w AS MATERIALIZED (SELECT doc_id, CAST(i - 1 AS INT) AS ord, l[i] AS text, CAST(360 * (i - 1) AS BIGINT) AS start_ms, CAST(360 * (i - 1) + 300 AS BIGINT) AS end_ms,
+  CAST(60 + (7 * doc_id + 13 * (i - 1)) % 40 AS DOUBLE) / 100 AS p FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM ws))
+"""
+_S = (
+    _W
+    + r""",
+hb AS (SELECT *, lead(start_ms) OVER d AS ns, regexp_matches(text, '[.?!…]["'')\]]*$') AS fin FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY ord)),
+sg AS (SELECT *, coalesce(sum(CASE WHEN fin OR ns IS NULL OR ns - end_ms >= 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM hb),
+pr AS (SELECT *, sum(strlen(text) + 1) OVER (PARTITION BY doc_id, seg ORDER BY ord) AS pre FROM sg),
+gl AS MATERIALIZED (SELECT doc_id, seg, min(ord) AS base, list(pre ORDER BY ord) AS pre FROM pr GROUP BY 1, 2),
+rc AS (
+  WITH RECURSIVE r AS (
+    SELECT doc_id, seg, base, pre, 1 AS a, least(len(pre), len(list_filter(pre, lambda x: x < 260)) + 1) AS b FROM gl
+    UNION ALL
+    SELECT doc_id, seg, base, pre, b + 1, least(len(pre), len(list_filter(pre, lambda x: x < pre[b] + 260)) + 1) FROM r WHERE b < len(pre))
+  SELECT doc_id, base + a - 1 AS word_start, base + b AS word_end FROM r),
+s AS MATERIALIZED (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY word_start) - 1 AS INT) AS sent_ord,
+    array_to_string(l[word_start + 1:word_end], ' ') AS text, CAST(360 * word_start AS BIGINT) AS start_ms,
+    CAST(360 * (word_end - 1) + 300 AS BIGINT) AS end_ms, CAST(word_start AS INT) AS word_start, CAST(word_end AS INT) AS word_end
+  FROM rc JOIN ws USING (doc_id))
+"""
+)
+
+
+@query(f"WITH {_W} SELECT doc_id, ord, text, start_ms, end_ms, p FROM w")
+def words_from_documents(spark, sf_dir):
+    return exploded_words(_transcripts(spark, sf_dir)).select("doc_id", "ord", "text", "start_ms", "end_ms", "p")
+
+
+@query(
+    f"""WITH {_S}, h AS (SELECT doc_id, seg, string_agg(text, ' ' ORDER BY ord) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(ord) AS word_start FROM sg GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY word_start) - 1 AS INT) AS sent_ord, text, start_ms, end_ms FROM h"""
+)
+def sentences_hard_breaks(spark, sf_dir):
+    return segments.sentences(_transcripts(spark, sf_dir), None).select("doc_id", "sent_ord", "text", "start_ms", "end_ms")
+
+
+@query(f"WITH {_S} SELECT * FROM s")
+def sentences_full(spark, sf_dir):
+    return segments.sentences(_transcripts(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_W} SELECT doc_id, count(ord) AS n_words, CAST(round(coalesce(sum(CAST(round(p * 100) AS BIGINT)), 0) / greatest(count(ord), 1) / 100.0, 6) AS DOUBLE) AS confidence,
+coalesce(sum(CAST(round(p * 100) AS BIGINT)) < 68 * count(ord), true) AS low_confidence
+FROM ws LEFT JOIN w USING (doc_id) GROUP BY doc_id"""
+)
+def transcript_confidence(spark, sf_dir):
+    t = _transcripts(spark, sf_dir)
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.round(w["p"] * 100).cast("long"))
+    n = F.size("words").cast("long")
+    return t.select(
+        "doc_id", n.alias("n_words"), F.round(total / F.greatest(n, F.lit(1)) / 100.0, 6).alias("confidence"), (((total < 68 * n)) | (n == 0)).alias("low_confidence")
+    )
+
+
+@query(
+    f"""WITH {_S}, d AS (SELECT doc_id, max(end_ms) + 500 AS dur FROM w GROUP BY 1),
+win AS (SELECT doc_id, dur, unnest(range(0, 1 + greatest(0, CAST(ceil((dur - 720000) / 600000.0) AS BIGINT)))) AS win FROM d)
+SELECT doc_id, win, count(*) AS sentences, min(sent_ord) AS first_sent, max(sent_ord) AS last_sent
+FROM win JOIN s USING (doc_id) WHERE NOT (s.end_ms < win * 600000 OR s.start_ms > least(win * 600000 + 720000, dur)) GROUP BY 1, 2"""
+)
+def hopping_windows(spark, sf_dir):
+    t = _transcripts(spark, sf_dir)
+    return segments.hopping_windows(segments.sentences(t), clips.durations(t))
+
+
+def _duck(sql: str) -> str:
+    return sql.replace("startswith(", "starts_with(")
+
+
+_B = (
+    _S
+    + f""",
+n AS MATERIALIZED (SELECT *, lead(start_ms) OVER o AS next_start, regexp_matches(rtrim(text), '[.?!…]$') AS terminal,
+  {signals.any_of("contains", "lower(text)", signals.PAYOFF_CUES)} AS payoff_here,
+  trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS claim FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY sent_ord)),
+nb AS MATERIALIZED (SELECT *, coalesce(lag(payoff_here) OVER (PARTITION BY doc_id ORDER BY sent_ord), false) AS payoff_before,
+  len(list_filter(string_split(claim, ' '), lambda x: x <> '')) AS cw,
+  len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words FROM n),
+pe AS (SELECT a.doc_id, a.sent_ord AS s, b.sent_ord AS e, a.start_ms AS s_start, b.end_ms, b.next_start, b.terminal, b.payoff_here, b.payoff_here OR b.payoff_before AS payoff_cue
+  FROM nb a JOIN nb b ON a.doc_id = b.doc_id AND b.sent_ord >= a.sent_ord AND b.end_ms - a.start_ms BETWEEN 20000 AND 90000),
+ps AS (SELECT *, CAST({signals.END_SCORE_SQL} AS FLOAT) AS end_score FROM pe),
+bw AS MATERIALIZED (SELECT doc_id, s, e, s_start AS start_ms, end_ms, end_score, payoff_cue FROM ps QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY end_score DESC, e) = 1)
+"""
+)
+
+
+@query(f"WITH {_B} SELECT doc_id, s, e, start_ms, end_ms, CAST(end_score AS DOUBLE) AS end_score, payoff_cue FROM bw")
+def best_window_end(spark, sf_dir):
+    w = signals.best_windows(segments.sentences(_transcripts(spark, sf_dir)))
+    return w.select("doc_id", "s", "e", "start_ms", "end_ms", F.col("end_score").cast("double").alias("end_score"), "payoff_cue")
+
+
+_FILLERS = " + ".join(
+    f"len(list_filter(range(1, len(nw) + 1), lambda i: {' AND '.join(f'nw[i + {k}] = {signals.quoted(x)}' for k, x in enumerate(f.split()))}))" for f in signals.FILLERS
+)
+_F = (
+    _B
+    + f""",
+wt AS (SELECT b.*, string_agg(x.text, ' ' ORDER BY x.sent_ord) AS txt, string_agg(CASE WHEN x.claim <> '' THEN x.claim END, ' ' ORDER BY x.sent_ord) AS norm, sum(x.n_words) AS words
+  FROM bw b JOIN nb x ON b.doc_id = x.doc_id AND x.sent_ord BETWEEN b.s AND b.e GROUP BY ALL),
+rp AS (SELECT DISTINCT b.doc_id, b.s FROM bw b JOIN nb x ON b.doc_id = x.doc_id AND x.sent_ord BETWEEN b.s AND b.e JOIN nb y ON y.doc_id = x.doc_id AND y.sent_ord > x.sent_ord AND y.sent_ord <= b.e
+  WHERE CASE WHEN strlen(x.claim) <= strlen(y.claim) THEN x.cw >= 3 AND contains(y.claim, x.claim) ELSE y.cw >= 3 AND contains(x.claim, y.claim) END),
+xc AS (SELECT DISTINCT b.doc_id, b.s FROM bw b JOIN nb x ON b.doc_id = x.doc_id AND x.sent_ord BETWEEN b.s AND b.e JOIN nb y ON y.doc_id = x.doc_id AND y.sent_ord = x.sent_ord + 1 AND y.sent_ord <= b.e
+  WHERE contains(x.text, '?') AND y.n_words <= 12 AND y.start_ms - x.end_ms <= 1500),
+f0 AS (SELECT wt.*, o.text AS opener, lower(o.text) AS o, o.n_words AS o_words, lower(txt) AS t, string_split(coalesce(norm, ''), ' ') AS nw,
+  rp.s IS NOT NULL AS repeated_claim, xc.s IS NOT NULL AS exchange,
+  coalesce(list_filter(string_split_regex(lower(o.text), '\\s+'), lambda x: x <> '')[1], '') AS first_word
+  FROM wt JOIN nb o ON o.doc_id = wt.doc_id AND o.sent_ord = wt.s LEFT JOIN rp ON rp.doc_id = wt.doc_id AND rp.s = wt.s LEFT JOIN xc ON xc.doc_id = wt.doc_id AND xc.s = wt.s),
+f1 AS (SELECT *, {_duck(signals.VAGUE)} AS vague_open,
+  {_duck(signals.any_of("startswith", "o", signals.HOOK_STARTS))} OR contains(opener, '?') AS hook,
+  {signals.any_of("contains", "t", signals.CONTRAST_CUES)} AS contrast, {signals.any_of("contains", "t", signals.REFERENCE_CUES)} AS reference,
+  {signals.any_of("contains", "t", signals.HOUSEKEEPING_CUES)} AS housekeeping, regexp_matches(txt, '[0-9]') AS has_number,
+  {_FILLERS} AS fillers, contains(opener, '?') OR first_word IN ('what', 'why', 'how', 'who', 'when') AS question_open,
+  len(list_filter(string_split_regex(t, '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}'']+|[^\\p{{L}}\\p{{N}}'']+$', '', 'g') IN ('everyone', 'everybody', 'nobody', 'never', 'always'))) > 0
+    OR regexp_matches(' ' || coalesce(norm, '') || ' ', ' no one | all of us ') AS absolute_claim FROM f0),
+f AS MATERIALIZED (SELECT *, CAST(CAST(fillers AS FLOAT) / CAST(greatest(words, 1) AS FLOAT) AS FLOAT) AS filler_rate,
+  first_word IN ({", ".join(signals.quoted(x) for x in signals.PRONOUN_OPENERS)}) OR vague_open AS pronoun_open, CAST(0 AS DOUBLE) AS boost FROM f1),
+sc AS (SELECT *, {", ".join(f"{sql} AS {name}" for name, sql in signals.SCORES_SQL.items())} FROM f
+  WHERE NOT housekeeping AND NOT (fillers >= 5 AND filler_rate >= CAST(0.08 AS FLOAT)) AND (hook OR contrast OR payoff_cue OR repeated_claim OR exchange OR absolute_claim)),
+cs AS MATERIALIZED (SELECT *, {signals.PROPOSAL_SQL} AS composite FROM sc)
+"""
+)
+_SIGNALS = ["hook", "contrast", "payoff_cue", "reference", "pronoun_open", "vague_open", "question_open", "has_number", "repeated_claim", "exchange", "absolute_claim", "housekeeping"]
+
+
+@query(f"WITH {_F} SELECT doc_id, s, e, {', '.join(_SIGNALS)}, CAST(fillers AS INT) AS fillers, CAST(words AS INT) AS words FROM f")
+def window_signals(spark, sf_dir):
+    w = signals.signals(signals.best_windows(segments.sentences(_transcripts(spark, sf_dir))))
+    return w.select("doc_id", "s", "e", *_SIGNALS, F.col("fillers").cast("int").alias("fillers"), F.col("words").cast("int").alias("words"))
+
+
+@query(f"WITH {_F} SELECT doc_id, s, e, {', '.join(signals.SCORES_SQL)}, CAST(composite AS DOUBLE) AS composite FROM cs")
+def rubric_scores(spark, sf_dir):
+    return clips.candidates(_docs(spark, sf_dir)).select("doc_id", "s", "e", *signals.SCORES_SQL, F.col("composite").cast("double").alias("composite"))
+
+
+def _fold(rows: str, hit: str, cap: str = "true", name: str = "g") -> str:
+    """Recursive greedy fold over (doc_id, rn, ord, start_ms, end_ms): the rows that are kept."""
+    return f"""{name} AS (
+  WITH RECURSIVE r AS (
+    SELECT doc_id, 0 AS rn, CAST([] AS STRUCT(ord INT, a BIGINT, b BIGINT)[]) AS kept FROM (SELECT DISTINCT doc_id FROM {rows})
+    UNION ALL
+    SELECT r.doc_id, x.rn, CASE WHEN ({cap}) AND len(list_filter(kept, lambda k: {hit})) = 0
+      THEN list_append(kept, {{'ord': x.ord, 'a': x.start_ms, 'b': x.end_ms}}) ELSE kept END
+    FROM r JOIN {rows} x ON x.doc_id = r.doc_id AND x.rn = r.rn + 1)
+  SELECT doc_id, unnest(kept).ord AS ord, generate_subscripts(kept, 1) AS place FROM (SELECT doc_id, arg_max(kept, rn) AS kept FROM r GROUP BY 1))"""
+
+
+_P = (
+    _F
+    + """,
+dd AS (SELECT doc_id, max(end_ms) + 500 AS dur FROM w GROUP BY 1),
+c1 AS MATERIALIZED (SELECT cs.doc_id, s AS ord, start_ms, cs.end_ms, least(greatest((dur + 29999) // 30000, 6), 30) AS cap, greatest(dur // 3, 1) AS third,
+  row_number() OVER (PARTITION BY cs.doc_id ORDER BY composite DESC, s) AS rn FROM cs JOIN dd USING (doc_id)),
+"""
+    + _fold(
+        "c1",
+        "CAST(greatest(least(k.b, x.end_ms) - greatest(k.a, x.start_ms), 0) AS DOUBLE) / greatest(x.end_ms - x.start_ms, 1) > 0.25",
+        "len(kept) < x.cap AND len(list_filter(kept, lambda k: least(k.a // x.third, 2) = least(x.start_ms // x.third, 2))) < greatest(x.cap // 2, 2)",
+    )
+)
+
+
+@query(f"WITH {_P} SELECT g.doc_id, CAST(place AS INT) AS proposal, s, e, start_ms, end_ms, CAST(composite AS DOUBLE) AS composite FROM g JOIN cs ON g.doc_id = cs.doc_id AND g.ord = cs.s")
+def proposals_greedy(spark, sf_dir):
+    return clips.proposals(_docs(spark, sf_dir)).select("doc_id", "proposal", "s", "e", "start_ms", "end_ms", F.col("composite").cast("double").alias("composite"))
+
+
+_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {signals.quoted(r)} END" for r, c in signals.REASONS_SQL) + "], lambda x: x IS NOT NULL)"
+_V = (
+    _P
+    + f""",
+v AS MATERIALIZED (SELECT g.doc_id, CAST(place AS INT) AS proposal, s, e, start_ms, end_ms, {_REASONS} AS reasons, {signals.VALIDATION_SQL} AS quality FROM g JOIN cs ON g.doc_id = cs.doc_id AND g.ord = cs.s),
+v1 AS MATERIALIZED (SELECT doc_id, proposal AS ord, start_ms, end_ms, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, proposal) AS rn FROM v WHERE len(reasons) = 0),
+"""
+    + _fold(
+        "v1",
+        "CAST(greatest(least(k.b, x.end_ms) - greatest(k.a, x.start_ms), 0) AS DOUBLE) / greatest(x.end_ms - x.start_ms, 1) > 0.3 OR (x.start_ms <= k.a AND x.end_ms >= k.b)",
+        name="gv",
+    )
+)
+
+
+@query(
+    f"""WITH {_V} SELECT v.doc_id, proposal, s, e, start_ms, end_ms, CAST(quality AS DOUBLE) AS quality, CAST(place AS INT) AS rank,
+array_to_string(CASE WHEN len(reasons) = 0 AND place IS NULL THEN ['overlap'] ELSE reasons END, '; ') AS reasons FROM v LEFT JOIN gv ON v.doc_id = gv.doc_id AND v.proposal = gv.ord"""
+)
+def clips_validated(spark, sf_dir):
+    v = clips.validated(_docs(spark, sf_dir))
+    return v.select("doc_id", "proposal", "s", "e", "start_ms", "end_ms", F.col("quality").cast("double").alias("quality"), "rank", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _intervals(spark, sf_dir):
+    """Two odd intervals per document, to be snapped."""
+    one = F.struct(F.lit(0).alias("ord"), F.lit(1_000).cast("long").alias("start_ms"), F.lit(31_111).cast("long").alias("end_ms"))
+    two = F.struct(F.lit(1).alias("ord"), F.lit(40_250).cast("long").alias("start_ms"), F.lit(95_555).cast("long").alias("end_ms"))
+    return _docs(spark, sf_dir).select("doc_id", F.inline(F.array(one, two)))
+
+
+_IV = "iv AS (SELECT doc_id, ord, start_ms, end_ms FROM documents, (VALUES (CAST(0 AS INT), CAST(1000 AS BIGINT), CAST(31111 AS BIGINT)), (1, 40250, 95555)) v(ord, start_ms, end_ms))"
+
+
+@query(
+    f"""WITH {_W}, {_IV}, j AS (SELECT iv.doc_id, iv.ord, iv.start_ms, iv.end_ms, min(w.start_ms) FILTER (w.end_ms > iv.start_ms) AS a, max(w.end_ms) FILTER (w.start_ms < iv.end_ms) AS b,
+  round(coalesce(avg(CAST(round(p * 100) AS BIGINT)) FILTER (w.start_ms >= iv.start_ms AND w.end_ms <= iv.end_ms) / 100, 1.0), 6) AS confidence
+  FROM iv JOIN w ON iv.doc_id = w.doc_id GROUP BY ALL)
+SELECT doc_id, ord, start_ms, end_ms, CASE WHEN a < b THEN a END AS snapped_start, CASE WHEN a < b THEN b END AS snapped_end, confidence FROM j"""
+)
+def snap_words(spark, sf_dir):
+    out = snap_to_words(_intervals(spark, sf_dir), exploded_words(_transcripts(spark, sf_dir)), "doc_id")
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+def _samples(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.min("ts").alias("t0"))
+    sec = F.expr("cast(timestampdiff(SECOND, t0, ts) div 3600 as int)")
+    return e.crossJoin(F.broadcast(first)).select("user_id", sec.alias("sec"), F.when(F.col("event_type") != "error", -F.col("value")).alias("db"))
+
+
+_EP = """sm AS (SELECT user_id, CAST(date_diff('microsecond', (SELECT min(ts) FROM events), ts) // 3600000000 AS INT) AS sec, CASE WHEN event_type <> 'error' THEN -value END AS db FROM events),
+pp AS (SELECT user_id, sec, avg(db) AS db FROM sm GROUP BY 1, 2),
+sp AS (SELECT user_id, max(sec) AS last, least(coalesce(min(db), -60), -60) AS fl FROM pp GROUP BY 1),
+ev AS (SELECT user_id, fl, CAST(unnest(range(0, last + 1)) AS INT) AS sec FROM sp),
+ep AS (SELECT ev.user_id, ev.sec, coalesce(db, fl) AS db FROM ev LEFT JOIN pp ON pp.user_id = ev.user_id AND pp.sec = ev.sec)"""
+
+
+@query(f"WITH {_EP} SELECT user_id, sec, round(db, 6) AS db FROM ep")
+def energy_profile(spark, sf_dir):
+    return series.energy_profile(_samples(spark, sf_dir), "user_id").select("user_id", "sec", F.round("db", 6).alias("db"))
+
+
+@query(
+    f"""WITH {_EP}, iv AS (SELECT DISTINCT user_id, CAST(0 AS INT) AS ord, CAST(0 AS BIGINT) AS start_ms, CAST(90000 AS BIGINT) AS end_ms FROM ep),
+st AS (SELECT user_id, avg(db) AS m, stddev_pop(db) AS sd, count(*) AS n FROM ep GROUP BY 1),
+lv AS (SELECT iv.user_id, ord, start_ms, end_ms, avg(db) AS lev FROM iv LEFT JOIN ep ON iv.user_id = ep.user_id AND sec >= start_ms // 1000 AND sec < (end_ms + 999) // 1000 GROUP BY ALL)
+SELECT user_id, ord, start_ms, end_ms, round(CASE WHEN n >= 2 AND sd >= 1 AND lev IS NOT NULL THEN least(greatest((lev - m) / sd, 0) * 1.5, 4.0) ELSE 0 END, 6) AS boost FROM lv JOIN st USING (user_id)"""
+)
+def energy_boost(spark, sf_dir):
+    p = series.energy_profile(_samples(spark, sf_dir), "user_id")
+    iv = p.select("user_id").distinct().select("user_id", F.lit(0).alias("ord"), F.lit(0).cast("long").alias("start_ms"), F.lit(90_000).cast("long").alias("end_ms"))
+    return series.energy_boost(iv, p, "user_id").withColumn("boost", F.round("boost", 6))
+
+
+def _detections(spark, sf_dir):
+    from pyspark.sql import Window
+
+    frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    return e.select("label", frame.alias("frame"), F.lit(0).alias("nth"), F.round(0.5 + F.col("x"), 4).alias("cx"))
+
+
+@query(
+    """WITH d AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame, round(0.5 + CAST(embedding[1] AS DOUBLE), 4) AS cx FROM embeddings),
+n AS (SELECT *, lag(cx) OVER o AS a, lead(cx) OVER o AS c FROM d WINDOW o AS (PARTITION BY label ORDER BY frame)),
+m AS (SELECT label, frame, CASE WHEN a IS NULL OR c IS NULL THEN cx ELSE greatest(least(a, cx), least(greatest(a, cx), c)) END AS m FROM n)
+SELECT label, frame, round(avg(m) OVER (PARTITION BY label ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS cx FROM m"""
+)
+def face_track_smoothed(spark, sf_dir):
+    return series.smooth_track(_detections(spark, sf_dir), "label").select("label", "frame", F.round("cx", 6).alias("cx"))
+
+
+@query()
+def face_clusters(spark, sf_dir):
+    return series.cluster_centres(_detections(spark, sf_dir), "label").withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def caption_pages_clean(spark, sf_dir):
+    return series.page_events(series.clean_pages(_transcripts(spark, sf_dir)), 160)
+
+
+@query()
+def caption_pages_impact(spark, sf_dir):
+    return series.page_events(series.impact_pages(_transcripts(spark, sf_dir)), 200)
+
+
+@query()
+def accent_choice(spark, sf_dir):
+    raw = table(spark, sf_dir, "embeddings").select("label", F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(F.abs(x) * 1000) % 256).alias("v"))
+    return series.choose_accent(raw.select("label", *[F.get("v", F.lit(i)).cast("double").alias(c) for i, c in enumerate("rgb")]), "label")
+
+
+_SLUG = "regexp_replace(left(regexp_replace(regexp_replace(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-', ''), {n}), '-+$', '')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, n_chars * 977 AS ms, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, CASE WHEN {_SLUG.format(t='t', n=48)} = '' THEN 'clip' ELSE {_SLUG.format(t='t', n=48)} END AS slug,
+CASE WHEN ms >= 3600000 THEN printf('%d:%02d:%02d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60) ELSE printf('%02d:%02d', ms // 60000, ms // 1000 % 60) END AS clock,
+printf('%d:%02d:%02d.%02d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000 // 10) AS subtitle,
+array_to_string(l[1:12], ' ') AS head, array_to_string(l[greatest(len(l) - 11, 1):], ' ') AS tail,
+CAST(length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS INT) AS alnum,
+trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm FROM d"""
+)
+def text_functions(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    t, ms = F.coalesce("text", F.lit("")), F.col("n_chars") * 977
+    return d.select(
+        "doc_id", X.slug(t, 48).alias("slug"), X.clock(ms).alias("clock"), X.subtitle_time(ms).alias("subtitle"), X.quote_head(t).alias("head"), X.quote_tail(t).alias("tail"),
+        X.alnum_length(t).alias("alnum"), X.normalize(t).alias("norm"),
+    )
+
+
+def _sources(spark, sf_dir):
+    """Documents with labels as evaluation sources; quality is acceptance, toxicity a duplicate rejection."""
+    d = table(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", "source", "n_chars"), "doc_id")
+    status = F.when(F.col("doc_id") % 7 == 0, "failed").when(F.col("doc_id") % 11 == 0, "cancelled").otherwise("complete")
+    return d.select(
+        F.col("doc_id").alias("source_id"), F.col("source").alias("category"), status.alias("status"), F.col("quality").cast("long").alias("ready_clips"),
+        F.col("quality").cast("long").alias("accepted"), (1 - F.col("quality")).cast("long").alias("rejected"), F.col("toxic").cast("long").alias("duplicate_rejections"),
+    )
+
+
+_SRC = """src AS (SELECT doc_id AS source_id, source AS category, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 11 = 0 THEN 'cancelled' ELSE 'complete' END AS status,
+ quality AS q, toxic AS x FROM labels JOIN documents USING (doc_id))"""
+_OPERATIONAL = """count(*) AS source_count, count(*) FILTER (status = 'complete') AS completed_sources, count(*) FILTER (status = 'failed') AS failed_sources,
+count(*) FILTER (status = 'cancelled') AS cancelled_sources, round(CAST(count(*) FILTER (status = 'complete') AS DOUBLE) / count(*), 3) AS completion_rate,
+CAST(sum(q) AS BIGINT) AS ready_clips, CAST(sum(q) AS BIGINT) AS accepted_candidates, CAST(sum(1 - q) AS BIGINT) AS rejected_candidates, CAST(sum(x) AS BIGINT) AS duplicate_rejections,
+round(CAST(sum(x) AS DOUBLE) / count(*), 3) AS duplicate_rate"""
+
+
+@query(f"WITH {_SRC} SELECT {_OPERATIONAL} FROM src")
+def eval_report(spark, sf_dir):
+    return evals.operational(_sources(spark, sf_dir))
+
+
+@query(f"WITH {_SRC} SELECT category, {_OPERATIONAL} FROM src GROUP BY category")
+def eval_by_category(spark, sf_dir):
+    return evals.operational(_sources(spark, sf_dir), "category")
+
+
+@query(f"WITH {_SRC} SELECT DISTINCT source_id FROM src WHERE status = 'failed' AND source_id NOT IN (SELECT source_id FROM src WHERE status = 'failed' AND q = 1)")
+def eval_new_failures(spark, sf_dir):
+    s = _sources(spark, sf_dir)
+    return evals.new_failures(s, s.where("accepted = 1"))
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def stage_latest(spark, sf_dir):
+    return evals.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts").select("user_id", "event_id", "event_type", "ts")
+
+
+@query(
+    """WITH r AS (SELECT user_id, ts, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS f FROM events),
+i AS (SELECT *, row_number() OVER o - sum(f) OVER o AS island FROM r WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+c AS (SELECT user_id, island, count(*) AS n FROM i WHERE f = 1 GROUP BY 1, 2) SELECT user_id, max(n) AS longest FROM c GROUP BY 1"""
+)
+def poll_streaks(spark, sf_dir):
+    return evals.streaks(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "view")
+
+
+@query(
+    """WITH r AS (SELECT event_type, unnest(generate_series(epoch_us(ts) // 36000000000 - 1, epoch_us(ts) // 36000000000)) AS k, epoch_us(ts) AS us FROM events)
+SELECT event_type, make_timestamp(k * 36000000000) AS start, count(*) AS n FROM r WHERE us >= k * 36000000000 AND us < k * 36000000000 + 43200000000 GROUP BY 1, 2"""
+)
+def events_hopping(spark, sf_dir):
+    out = lifecycle.hopping_counts(table(spark, sf_dir, "events"))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(
+    """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def events_sessions(spark, sf_dir):
+    out = lifecycle.session_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
