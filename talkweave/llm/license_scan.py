@@ -110,10 +110,10 @@ def scan_licenses(
         rows = scratch.save(
             docs.select(
                 F.col(id_col).alias("id"),
-                F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
+                F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("text_key"),
                 n_words.alias("n_words"),
                 known.alias("known"),
-            ),
+            ).withColumn("phrase_hits", _phrase_hits(F.col("known"), phrases)),
             "rows",
         )
         # at most one row for each word of the vocabulary
@@ -173,6 +173,6 @@ def scan_licenses(
         hits = scratch.save(hits, "hits")
         return scratch.keep(
             rows.join(hits, F.col("text_key") == F.col("hit_key"), "left").select(
-                F.col("id").alias(id_col), "n_words", _phrase_hits(F.col("known"), phrases).alias("phrase_hits"), "template_hits"
+                F.col("id").alias(id_col), "n_words", "phrase_hits", "template_hits"
             )
         )
