@@ -187,7 +187,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         sets = scratch.save(
             _sets(rows.join(wanted, F.col("id") == F.col("node")).select("node", "set_key", "text")), "sets"
         )
-        links = _find_links(scratch, buckets, sets, nodes.select("node", "n"))
+        links = _find_links(scratch, buckets, sets)
         labels = scratch.save(components(scratch, links), "labels")
         named = nodes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
         # nodes that only share an id are one document
@@ -206,41 +206,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _buckets(scratch: Scratch, nodes: DataFrame) -> DataFrame:
-    """(key, node) of all table keys that more than one node has."""
+    """(key, node, n) of all table keys that more than one node has."""
     a, b = F.posexplode(F.slice("halves", 1, SUBKEYS)).alias("i", "first"), F.slice("halves", SUBKEYS + 1, SUBKEYS)
-    keys = nodes.select("node", a, b.alias("seconds")).select(
-        "node", "i", "first", F.posexplode("seconds").alias("j", "second")
-    ).select(F.xxhash64("i", "j", "first", "second").alias("key"), "node")
+    keys = nodes.select("node", "n", a, b.alias("seconds")).select(
+        "node", "n", "i", "first", F.posexplode("seconds").alias("j", "second")
+    ).select(F.xxhash64("i", "j", "first", "second").alias("key"), "node", "n")
     shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared")
     return scratch.save(keys.join(shared, "key"), "buckets")
 
 
-def _find_links(scratch: Scratch, buckets: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+def _find_links(scratch: Scratch, buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes that candidates' links connect."""
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """The distinct pairs a < b of possible size, compared."""
+        """The distinct pairs a < b, compared."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(
-            sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b"
-        )
-        return scratch.save(_compared(sized.where(near).select("a", "b"), sets), name)
+        return scratch.save(_compared(pairs, sets), name)
+
+    def with_leader(rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's node and one of its leaders, where sizes allow a link."""
+        near = F.least("led.n", "n") * 100 >= F.greatest("led.n", "n") * PERCENT
+        return rows.where(near).select(F.col("led.node").alias("a"), F.col("node").alias("b"))
 
     # 1: a few members of each bucket, the same ones in every table as far as possible
-    picks = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"].alias(f"l{k}") for k in range(LEADERS)]
-    leaders = scratch.save(
-        buckets.groupBy("key").agg(*picks).select("key", F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("leaders")),
-        "leaders",
-    )
-    first = confirmed(buckets.join(leaders, "key").select(F.explode("leaders").alias("a"), F.col("node").alias("b")), "first")
+    picks = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "n")).alias(f"l{k}") for k in range(LEADERS)]
+    picked = F.array_distinct(F.array(*[F.struct(f"l{k}.node", f"l{k}.n") for k in range(LEADERS)]))
+    leaders = scratch.save(buckets.groupBy("key").agg(*picks).select("key", picked.alias("leaders")), "leaders")
+    first = confirmed(with_leader(buckets.join(leaders, "key").select("node", "n", F.explode("leaders").alias("led"))), "first")
     links = first.where(_linked()).select("a", "b")
 
     def mixed(links: DataFrame) -> DataFrame:
-        """(key, node, component) of the buckets that hold several components."""
+        """(key, node, n, component) of the buckets that hold several components."""
         labels = scratch.save(components(scratch, links), "labels")
         named = scratch.save(
-            buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "named"
+            buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "named"
         )
         several = scratch.save(
             named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "several"
@@ -251,18 +250,14 @@ def _find_links(scratch: Scratch, buckets: DataFrame, sets: DataFrame, sizes: Da
     left = mixed(links)
     share = first.select("a", "b", (F.col("both") / F.col("either")).alias("j"))
     central = share.select(F.col("a").alias("node"), "j").union(share.select("b", "j")).groupBy("node").agg(F.avg("j").alias("mean"))
-    ranked = left.join(central, "node", "left")
-    order = F.struct(F.coalesce("mean", F.lit(0.0)).alias("mean"), F.col("node").alias("node"), F.col("component").alias("component"))
+    ranked = left.join(central, "node", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
     chosen = ranked.groupBy("key").agg(
-        F.max(order).alias("best"),
-        F.min(F.struct(F.xxhash64(F.lit(-1), "node"), "node", "component")).alias("other"),
-    )
-    chosen = scratch.save(
-        chosen.select("key", F.explode(F.array(F.struct("best.node", "best.component"), F.struct("other.node", "other.component"))).alias("led")), "chosen"
-    )
-    second = confirmed(
-        left.join(chosen, "key").where("component <> led.component").select(F.col("led.node").alias("a"), F.col("node").alias("b")), "second"
+        F.max(F.struct("mean", "node", "n", "component")).alias("best"),
+        F.min(F.struct(F.xxhash64(F.lit(-1), "node"), "node", "n", "component")).alias("other"),
     )
+    led = [F.struct(f"{x}.node", f"{x}.n", f"{x}.component") for x in ("best", "other")]
+    chosen = scratch.save(chosen.select("key", F.explode(F.array(*led)).alias("led")), "chosen")
+    second = confirmed(with_leader(left.join(chosen, "key").where("component <> led.component")), "second")
     more = second.where(_linked()).select("a", "b")
     if not more.isEmpty():
         links = scratch.save(links.union(more), "links")
