@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm._shared import Scratch
 
-BLOCK_BITS = 8
+BLOCK_BITS = 12
 BLOCKS = 1 << BLOCK_BITS
 MOST_COPIES = 3
 
@@ -173,7 +173,7 @@ def mix(
     copies, and one more if its hash lies at or below its source's cut, the last place in the hash
     order before the words pass the target: found in block sums, then in the sums of the sub-blocks
     of one block, then in the rows of one sub-block. Only those sums and the rows of one sub-block in
-    65536 per source meet in one task. One row beyond the cut, if that brings the source nearer
+    16 million per source meet in one task. One row beyond the cut, if that brings the source nearer
     to its target, is taken as well.
 
     Defined results: null texts have size 0; a source with no words has target 0 and no copies;
