@@ -73,13 +73,14 @@ def alnum_length(text: Column) -> Column:
 
 
 def table_cell(text: Column) -> Column:
-    """A Markdown cell: blank as a dash; backslash, bar and line break escaped."""
+    """A Markdown cell: null and empty as a dash; backslash, bar and line break escaped."""
     t = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit("—")).otherwise(t)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("—")).otherwise(t)
 
 
 def subtitle_escape(text: Column) -> Column:
-    return F.translate(F.replace(text, F.lit("\\"), F.lit("")), "{}\n", "() ")
+    """Braces become parentheses and backslashes slashes; a line break, which would end the event, a space."""
+    return F.translate(text, "{}\\\n", "()/ ")
 
 
 def hex_to_bgr(colour: Column, default: str = "FFFFFF") -> Column:

@@ -72,3 +72,28 @@ def streaks(polls: DataFrame, key: str, at: str, failed: Column) -> DataFrame:
     island = F.row_number().over(order) - F.sum(F.col("f")).over(order)
     runs = polls.withColumn("f", failed.cast("int")).withColumn("island", island).where("f = 1").groupBy(key, "island").count()
     return runs.groupBy(key).agg(F.max("count").alias("longest"))
+
+
+def gate(current: DataFrame, baseline: DataFrame, failures: DataFrame, policy: dict | None = None, scores: list[str] = RUBRIC_SCORES) -> DataFrame:
+    """One row (status, failure_reasons, warnings) from two one-row reviews and the new failures (source_id).
+
+    A rate or average fails by dropping more than the policy allows; where either run has none it is
+    a warning, except that scores missing from the baseline aren't compared.
+    """
+    allowed = DEFAULT_POLICY | (policy or {})
+    cols = ["would_post_rate", *scores]
+    lost = failures.agg(F.array_sort(F.collect_set("source_id")).alias("lost"))
+    both = current.select(*[F.col(c).alias(f"c_{c}") for c in cols]).crossJoin(baseline.select(*[F.col(c).alias(f"b_{c}") for c in cols])).crossJoin(lost)
+    reasons = [F.when(F.size("lost") > allowed["max_new_source_failures"], F.concat(F.lit("new source failures: "), F.array_join(F.col("lost").cast("array<string>"), ", ")))]
+    warnings = [F.when(F.col("c_would_post_rate").isNull() | F.col("b_would_post_rate").isNull(), "would-post comparison unavailable until both runs are reviewed")]
+
+    def dropped(c: str, most: float, what: str) -> Column:
+        drop = F.round(F.col(f"b_{c}") - F.col(f"c_{c}"), 3)
+        return F.when(drop > most, F.format_string(f"{what} dropped by %.3f", drop))
+
+    reasons.append(dropped("would_post_rate", allowed["max_would_post_rate_drop"], "would-post rate"))
+    for c in scores:
+        reasons.append(dropped(c, allowed["max_average_score_drop"], f"{c} average"))
+        warnings.append(F.when(F.col(f"b_{c}").isNotNull() & F.col(f"c_{c}").isNull(), f"{c} comparison unavailable"))
+    out = both.select(F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("failure_reasons"), F.filter(F.array(*warnings), lambda w: w.isNotNull()).alias("warnings"))
+    return out.select(F.when(F.size("failure_reasons") > 0, "fail").otherwise("pass").alias("status"), "failure_reasons", "warnings")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as X
-from talkweave.operators import evals, segments, series, signals
+from talkweave.operators import artifacts, captions, evals, framing, segments, series, signals
 from talkweave.operators.intervals import greedy_mark, snap_to_words
 from talkweave.plans import clips
+from talkweave.sources import reports
 from talkweave.sources.transcripts import documents_as_transcripts, exploded_words, table
 from talkweave.streaming import lifecycle
 
@@ -409,3 +410,140 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_e
 def events_sessions(spark, sf_dir):
     out = lifecycle.session_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query()
+def caption_documents_clean(spark, sf_dir):
+    t = _transcripts(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    last = F.coalesce(F.try_element_at("words", F.lit(-1))["end_ms"] + 500, F.lit(0).cast("long"))
+    return captions.clean_documents(captions.clean_events(t, last, F.concat(F.lit("From "), F.col("source"))))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS l FROM documents),
+c AS (SELECT doc_id, list_filter([lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) FOR x IN l[greatest(len(l) - 11, 1):]], lambda x: x <> '') AS h,
+  list_filter([lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) FOR x IN l[1:14]], lambda x: x <> '') AS o FROM d)
+SELECT doc_id, len(h) > 0 AND CAST(len(list_filter(h, lambda x: list_contains(o, x))) AS FLOAT) / CAST(greatest(len(h), 1) AS FLOAT) < CAST(0.7 AS FLOAT) AS shown FROM c"""
+)
+def headline_shown(spark, sf_dir):
+    return _transcripts(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select(
+        "doc_id", captions.shows_headline(X.quote_tail(F.coalesce("text", F.lit(""))), F.col("words")).alias("shown")
+    )
+
+
+@query(f"WITH {_W} SELECT doc_id, ord, CASE WHEN doc_id % 2 = 0 THEN 'x' || text ELSE text END AS text, start_ms, end_ms FROM w")
+def caption_edits(spark, sf_dir):
+    t = _transcripts(spark, sf_dir)
+    new = F.transform("words", lambda w: F.concat(F.lit("x"), w["text"]))
+    text = F.array_join(F.when(F.col("doc_id") % 2 == 0, new).otherwise(F.concat(new, F.array(F.lit("more")))), "  ")
+    out = t.withColumn("words", captions.edited_words(F.col("words"), text))
+    return exploded_words(out).select("doc_id", "ord", "text", "start_ms", "end_ms")
+
+
+_KEYS = r"""d AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame, round(0.5 + CAST(embedding[1] AS DOUBLE), 4) AS cx FROM embeddings),
+n AS (SELECT *, lag(cx) OVER o AS a, lead(cx) OVER o AS c FROM d WINDOW o AS (PARTITION BY label ORDER BY frame)),
+m AS (SELECT label, frame, CASE WHEN a IS NULL OR c IS NULL THEN cx ELSE greatest(least(a, cx), least(greatest(a, cx), c)) END AS m FROM n),
+x AS MATERIALIZED (SELECT label, frame, frame // 2 AS i, CAST(frame * 1000 AS BIGINT) AS t, round(avg(m) OVER (PARTITION BY label ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS cx FROM m),
+keys AS (
+  WITH RECURSIVE r AS (
+    SELECT label, i, t AS kt, cx AS kx, true AS fresh FROM x WHERE frame = 0
+    UNION ALL
+    SELECT label, i, CASE WHEN fresh THEN t ELSE kt END, CASE WHEN fresh THEN nx ELSE kx END, fresh
+    FROM (SELECT *, abs(kx - nx) > 0.012 AS fresh FROM (
+      SELECT r.label, x.i, x.t, r.kt, r.kx, least(greatest(x.cx, r.kx - (x.t - r.kt) / 1000.0::DOUBLE * 0.1::DOUBLE), r.kx + (x.t - r.kt) / 1000.0::DOUBLE * 0.1::DOUBLE) AS nx
+      FROM r JOIN x ON x.label = r.label AND x.frame % 2 = 0 AND x.i = r.i + 1)))
+  SELECT label, kt AS t_ms, kx AS cx, row_number() OVER (PARTITION BY label ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY label) AS many FROM r WHERE fresh),
+kf AS MATERIALIZED (SELECT label, t_ms, cx FROM keys WHERE k % CAST(pow(2, ceil(log2(greatest(many / 12.0, 1.0)))) AS INT) = 0)"""
+
+
+def _keyframes(spark, sf_dir):
+    track = series.smooth_track(_detections(spark, sf_dir), "label").withColumn("cx", F.round("cx", 6))
+    return framing.crop_keyframes(track, "label")
+
+
+@query(f"WITH {_KEYS} SELECT label, t_ms, round(cx, 6) AS cx FROM kf")
+def crop_keyframes(spark, sf_dir):
+    return _keyframes(spark, sf_dir).select("label", F.inline("keyframes")).select("label", "t_ms", F.round("cx", 6).alias("cx"))
+
+
+@query(
+    f"""WITH {_KEYS}, p AS (SELECT label, t_ms, t_ms / 1000.0::DOUBLE AS t, least(greatest(cx * 3413 - 540, 0), 2333) AS x FROM kf),
+q AS (SELECT *, lead(t) OVER o AS t1, lead(x) OVER o AS x1 FROM p WINDOW o AS (PARTITION BY label ORDER BY t_ms))
+SELECT label, coalesce(string_agg(printf('if(lt(t\\,%.3f)\\,%.1f+(%.1f-%.1f)*(t-%.3f)/%.3f\\,', t1, x, x1, x, t, t1 - t), '' ORDER BY t_ms), '')
+ || printf('%.1f', arg_max(x, t_ms)) || repeat(')', CAST(count(t1) AS INT)) AS x FROM q GROUP BY label""".replace("\\\\", "\\")
+)
+def crop_expressions(spark, sf_dir):
+    return _keyframes(spark, sf_dir).select("label", framing.crop_x(F.col("keyframes"), F.lit(3413).cast("long")).alias("x"))
+
+
+@query()
+def filter_graphs(spark, sf_dir):
+    sub = F.concat(F.lit("ass='"), framing.filter_quoted(F.concat(F.lit("C:\\out\\it's "), F.col("label"))), F.lit("'"))
+    return _keyframes(spark, sf_dir).select(
+        "label", framing.filter_graph(F.lit(1920), F.lit(1080), F.when(F.col("label") % 2 == 0, F.col("keyframes")), F.when(F.col("label") % 3 == 0, sub)).alias("graph")
+    )
+
+
+def _artifacts(spark, sf_dir):
+    """Documents as clips of projects, and the files a run left of them."""
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("p"), F.col("doc_id") % 50).alias("project_id"), F.concat(F.lit("c"), F.col("doc_id")).alias("clip_id"))
+    clip = d.select("project_id", "clip_id", F.concat("clip_id", F.lit(".mp4")).alias("filename"), F.when(F.col("doc_id") % 3 > 0, "ready").otherwise("failed").alias("status"))
+
+    def file(folder: str, suffix: str, step: int):
+        size = F.when(F.col("doc_id") % step == 0, 0).otherwise(10)
+        return F.when(F.col("doc_id") % (step + 2) > 0, F.struct(F.lit(folder).alias("folder"), F.concat("clip_id", F.lit(suffix)).alias("name"), size.alias("size")))
+
+    kinds = [("clips", ".mp4", 5), ("clips", ".ready", 7), ("base", ".mp4", 4), ("base", ".ready", 3), ("clips", ".ass", 9), ("root", ".part-1", 9), ("root", ".log", 9)]
+    files = d.select("project_id", F.explode(F.array(*[file(*k) for k in kinds])).alias("f")).where("f is not null").select("project_id", "f.*")
+    return files, clip
+
+
+_ART = """d AS (SELECT doc_id, 'p' || (doc_id % 50) AS project_id, 'c' || doc_id AS clip_id, doc_id % 3 > 0 AS done FROM documents),
+k(folder, suffix, step) AS (VALUES ('clips', '.mp4', 5), ('clips', '.ready', 7), ('base', '.mp4', 4), ('base', '.ready', 3), ('clips', '.ass', 9), ('root', '.part-1', 9), ('root', '.log', 9)),
+f AS (SELECT project_id, clip_id, done, folder, suffix, clip_id || suffix AS name, doc_id % step <> 0 AS has FROM d, k WHERE doc_id % (step + 2) > 0),
+s AS (SELECT project_id, clip_id, bool_or(has) FILTER (folder = 'clips' AND suffix = '.mp4') AS media, bool_or(has) FILTER (folder = 'clips' AND suffix = '.ready') AS mark,
+  bool_or(has) FILTER (folder = 'base' AND suffix = '.mp4') AS base, bool_or(has) FILTER (folder = 'base' AND suffix = '.ready') AS bmark FROM f GROUP BY 1, 2),
+j AS (SELECT f.*, mark, bmark, done AND coalesce(media, false) AND coalesce(mark, true) AS good, coalesce(base, false) AND coalesce(bmark, done AND coalesce(media, false) AND coalesce(mark, true)) AS bgood FROM f JOIN s USING (project_id, clip_id))"""
+
+
+@query(
+    f"""WITH {_ART} SELECT project_id, folder, name, CASE WHEN suffix IN ('.ass', '.part-1') THEN 'delete' WHEN folder = 'root' THEN 'keep' WHEN folder = 'clips' AND NOT good THEN 'delete'
+WHEN folder = 'base' AND NOT bgood THEN 'delete' WHEN suffix = '.mp4' AND (CASE WHEN folder = 'clips' THEN mark ELSE bmark END) IS NULL THEN 'keep_and_mark' ELSE 'keep' END AS action FROM j"""
+)
+def artifacts_reconciled(spark, sf_dir):
+    return artifacts.reconcile(*_artifacts(spark, sf_dir))
+
+
+@query(
+    """SELECT o_orderkey AS project_id, CASE WHEN o_orderstatus = 'O' AND l.k IS NULL THEN 'failed' WHEN o_orderstatus = 'O' THEN 'rendering' ELSE 'complete' END AS status
+FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber = 2) l ON l.k = o_orderkey"""
+)
+def runs_interrupted(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "rendering").otherwise("complete")
+    projects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"), status.alias("status"))
+    running = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O' and l_linenumber = 2").select(F.col("l_orderkey").alias("project_id"))
+    return artifacts.interrupted(projects, running)
+
+
+@query(
+    f"""WITH {_V}, r AS (SELECT v.doc_id, proposal, place, array_to_string(CASE WHEN len(reasons) = 0 AND place IS NULL THEN ['overlap'] ELSE reasons END, '; ') AS why FROM v LEFT JOIN gv ON v.doc_id = gv.doc_id AND v.proposal = gv.ord)
+SELECT doc_id, count(place) AS accepted, count(*) - count(place) AS rejected,
+coalesce(array_to_string(list(proposal || ': ' || why ORDER BY proposal) FILTER (place IS NULL)[1:12], chr(10)), '') AS first_rejections FROM r GROUP BY doc_id"""
+)
+def project_views(spark, sf_dir):
+    v = clips.validated(_docs(spark, sf_dir))
+    why = F.when(F.col("rank").isNull(), F.struct("proposal", F.array_join("reasons", "; ").alias("why")))
+    rows = v.groupBy("doc_id").agg(F.count("rank").alias("accepted"), F.count_if(F.col("rank").isNull()).alias("rejected"), F.array_sort(F.collect_list(why)).alias("out"))
+    said = F.transform(F.slice("out", 1, 12), lambda x: F.concat(x["proposal"].cast("string"), F.lit(": "), x["why"]))
+    return rows.select("doc_id", "accepted", "rejected", F.array_join(said, "\n").alias("first_rejections"))
+
+
+@query(f"WITH {_SRC}, o AS (SELECT {_OPERATIONAL} FROM src) SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' if c in ('source_count', 'completed_sources', 'failed_sources', 'ready_clips', 'accepted_candidates', 'rejected_candidates') else (chr(39) * 2 + ' AS ' + c) for c in reports.CSV_FIELDS)} FROM o")
+def report_csv(spark, sf_dir):
+    return reports.csv_row(evals.operational(_sources(spark, sf_dir)).drop("completion_rate", "duplicate_rate"))
+
+
+@query()
+def report_markdown(spark, sf_dir):
+    s = _sources(spark, sf_dir)
+    return reports.markdown_lines(evals.operational(s), s.withColumnRenamed("rejected", "rejected_candidates"))
