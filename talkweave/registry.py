@@ -416,7 +416,14 @@ def events_sessions(spark, sf_dir):
 def caption_documents_clean(spark, sf_dir):
     t = _transcripts(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
     last = F.coalesce(F.try_element_at("words", F.lit(-1))["end_ms"] + 500, F.lit(0).cast("long"))
-    return captions.clean_documents(captions.clean_events(t, last, F.concat(F.lit("From "), F.col("source"))))
+    return captions.documents(captions.clean_events(t, last, F.concat(F.lit("From "), F.col("source"))), captions.clean_header())
+
+
+@query()
+def caption_documents_impact(spark, sf_dir):
+    t = _transcripts(spark, sf_dir)
+    last = F.coalesce(F.try_element_at("words", F.lit(-1))["end_ms"] + 500, F.lit(0).cast("long"))
+    return captions.documents(captions.impact_events(t, last), captions.impact_header())
 
 
 @query(
@@ -431,7 +438,11 @@ def headline_shown(spark, sf_dir):
     )
 
 
-@query(f"WITH {_W} SELECT doc_id, ord, CASE WHEN doc_id % 2 = 0 THEN 'x' || text ELSE text END AS text, start_ms, end_ms FROM w")
+@query(
+    f"""WITH {_W}, c AS (SELECT doc_id, l, len(l) + 1 AS n, 360 * len(l) - 60 AS span FROM ws WHERE doc_id % 2 = 1 AND len(l) > 0)
+SELECT doc_id, ord, 'x' || text AS text, start_ms, end_ms FROM w WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, CAST(i AS INT), CASE WHEN i = n - 1 THEN 'more' ELSE 'x' || l[i + 1] END, CAST(span * i // n AS BIGINT), CAST(span * (i + 1) // n AS BIGINT) FROM (SELECT *, unnest(range(0, n)) AS i FROM c)"""
+)
 def caption_edits(spark, sf_dir):
     t = _transcripts(spark, sf_dir)
     new = F.transform("words", lambda w: F.concat(F.lit("x"), w["text"]))
