@@ -119,7 +119,7 @@ def _page_events(words: Column, span: Column, page_no: Column, clip_len: Column,
         grow = F.concat(F.lit("\\fscx"), size, F.lit("\\fscy"), size, F.lit("\\t(0,110,\\fscx100\\fscy100)"))
         return F.concat(place, F.when(first, grow).otherwise("") if first is not None else F.lit(""), F.lit("}"))
 
-    def spoken(w: Column, i: Column) -> Column:
+    def spoken(lines: Column, w: Column, i: Column) -> Column:
         until = F.coalesce(F.get(page, i + 1)["start_ms"], ceiling)
         end = F.least(F.greatest(w["end_ms"], w["start_ms"] + LEAST_MS), until)
 
@@ -140,7 +140,7 @@ def _page_events(words: Column, span: Column, page_no: Column, clip_len: Column,
         events = F.flatten(F.transform(lines, on_line))
         return F.filter(events, lambda e: (end > w["start_ms"]) & (e["end_ms"] > e["start_ms"]))
 
-    return F.flatten(F.transform(page, spoken))
+    return _bound(lines, lambda ls: F.flatten(F.transform(page, lambda w, i: spoken(ls, w, i))))
 
 
 def _line(first: Column, last: Column, emphasis: Column, fs: Column) -> Column:
@@ -204,7 +204,7 @@ def _events(transcripts: DataFrame, clip_len: Column, spans, accent: str, style:
     none = F.expr("cast(array() as array<struct<text:string,start_ms:bigint,end_ms:bigint,p:double>>)")
     rows = transcripts.withColumn("clip_len", clip_len).withColumn("words", F.coalesce("words", none))
     rows = rows.withColumn("words", relative_words(F.col("words"), F.lit(0).cast("long"))).withColumn("spans", spans(F.col("words")))
-    pages = F.transform("spans", lambda s, i: _page_events(F.col("words"), s, i, F.col("clip_len"), accent, style, pad))
+    pages = _bound(F.col("words"), lambda ws: F.transform("spans", lambda s, i: _page_events(ws, s, i, F.col("clip_len"), accent, style, pad)))
     return rows.withColumn("events", F.flatten(pages))
 
 
@@ -247,14 +247,18 @@ def edited_words(words: Column, text: Column) -> Column:
     """Words with the texts of an edited caption: by position where the counts agree, else the edited words
     share the time from the first start to the last end evenly. A null edit leaves words as they are, a blank one none."""
     new = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    swapped = F.zip_with(words, new, lambda w, t: w.withField("text", t))
-    start = F.get(words, F.lit(0))["start_ms"]
-    span = F.greatest(F.try_element_at(words, F.lit(-1))["end_ms"], start + 1) - start
-    n = F.size(new)
 
-    def even(t: Column, i: Column) -> Column:
-        w = F.get(words, F.lit(0)).withField("text", t)
-        w = w.withField("start_ms", start + F.floor(span * i / n)).withField("end_ms", start + F.floor(span * (i + 1) / n))
-        return w.withField("p", F.lit(1.0))
+    def timed(x: Column) -> Column:
+        words, new, n = x["words"], x["new"], F.size(x["new"])
+        start = F.get(words, F.lit(0))["start_ms"]
+        span = F.greatest(F.try_element_at(words, F.lit(-1))["end_ms"], start + 1) - start
+        swapped = F.zip_with(words, new, lambda w, t: w.withField("text", t))
 
-    return F.when(text.isNull() | (F.size(words) == 0), words).when(F.size(words) == n, swapped).otherwise(F.transform(new, even))
+        def even(t: Column, i: Column) -> Column:
+            w = F.get(words, F.lit(0)).withField("text", t).withField("p", F.lit(1.0))
+            return w.withField("start_ms", start + F.floor(span * i / n)).withField("end_ms", start + F.floor(span * (i + 1) / n))
+
+        return F.when(x["kept"] | (F.size(words) == 0), words).when(F.size(words) == n, swapped).otherwise(F.transform(new, even))
+
+    # bound as one: a filter pushed below this projection would else split the text anew for every word
+    return _bound(F.struct(words.alias("words"), new.alias("new"), text.isNull().alias("kept")), timed)

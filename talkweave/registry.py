@@ -447,7 +447,7 @@ def caption_edits(spark, sf_dir):
     t = _transcripts(spark, sf_dir)
     new = F.transform("words", lambda w: F.concat(F.lit("x"), w["text"]))
     text = F.array_join(F.when(F.col("doc_id") % 2 == 0, new).otherwise(F.concat(new, F.array(F.lit("more")))), "  ")
-    out = t.withColumn("words", captions.edited_words(F.col("words"), text))
+    out = t.withColumn("edit", text).withColumn("words", captions.edited_words(F.col("words"), F.col("edit")))
     return exploded_words(out).select("doc_id", "ord", "text", "start_ms", "end_ms")
 
 
