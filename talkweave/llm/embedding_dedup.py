@@ -2,10 +2,11 @@
 
 Nodes are distinct vectors. Every node keeps a list of its nearest neighbours known so far. Lists
 start from random-hyperplane leaves; then neighbours of neighbours are compared, in groups of a node
-with its neighbours and some of those that have it as a neighbour, until lists hardly change. Links
-are the list entries at or above the threshold. A node whose whole list is linked is saturated: its
-list may be too short. The lists of a component with a saturated node are enlarged to all its members,
-compared block by block. A sample of nodes is compared with all others to audit recall; if that falls
+with its neighbours and some of those that have it as a neighbour, until lists hardly change. A list
+may be too short for all links of its node, so every group compared on the way also hands on bridges,
+a spanning forest of the links among its members, whatever the lists' length. List entries at or above
+the threshold and bridges give the components; links are then counted among all members of a
+component, compared block by block. A sample of nodes is compared with all others to audit recall; if that falls
 short, further leaves and rounds follow.
 """
 
@@ -28,7 +29,7 @@ LEAF = 64  # nodes in a leaf, about
 TREES = 4
 ROUNDS = 6  # of neighbours' neighbours, at most, in each pass
 SETTLED = 0.01  # share of list entries that change in a round when descent ends
-BLOCK = 256  # nodes in a block of an enlarged list
+BLOCK = 256  # nodes in a block of a component
 AUDITED = 256  # nodes whose links are counted against all nodes
 RECALL = 0.98  # wanted of the audit
 PASSES = 3  # sets of trees and rounds until that is met
@@ -76,8 +77,26 @@ def _leaves(nodes: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
     return leaves.join(sizes, "leaf").select(F.xxhash64(F.lit(seed), "leaf", part).alias("group"), "node")
 
 
-def _local_join(groups: DataFrame, nodes: DataFrame, lists: DataFrame | None, k: int) -> DataFrame:
-    """(node, other, sim): in every group each node's k nearest that are nearer than its list's end."""
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two ends of the links of a spanning forest of ``hit``, a symmetric table of links."""
+    left = hit.any(axis=1)
+    froms, tos = [], []
+    for root in np.flatnonzero(left):
+        front = [root] if left[root] else []
+        left[root] = False
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(hit[i] & left)
+            left[new] = False
+            froms.append(np.full(len(new), i))
+            tos.append(new)
+            front.extend(new)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *froms]), np.concatenate([none, *tos])
+
+
+def _local_join(groups: DataFrame, nodes: DataFrame, lists: DataFrame | None, k: int, threshold: float) -> DataFrame:
+    """(node, other, sim, bridge): in every group each node's k nearest that are nearer than its list's end, and bridges."""
     rows = groups.join(nodes.select("node", "unit"), "node")
     if lists is None:
         rows = rows.withColumn("far", F.lit(-2.0))
@@ -99,7 +118,10 @@ def _local_join(groups: DataFrame, nodes: DataFrame, lists: DataFrame | None, k:
         s = np.take_along_axis(sims, best, 1)
         ok = s > ends[:, None]
         who = np.broadcast_to(ids[:, None], s.shape)[ok]
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[best][ok]), pa.array(s[ok])], names=["node", "other", "sim"])
+        a, b = _forest(sims >= threshold)
+        bridge = np.repeat([False, True], [len(who), len(a)])
+        columns = [np.concatenate(c) for c in ((who, ids[a]), (ids[best][ok], ids[b]), (s[ok], sims[a, b]))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, bridge)], names=["node", "other", "sim", "bridge"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held = None, ([], [], [])
@@ -115,7 +137,7 @@ def _local_join(groups: DataFrame, nodes: DataFrame, lists: DataFrame | None, k:
         if held[0] and (out := compared(*held)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "node long, other long, sim double")
+    return rows.mapInArrow(run, "node long, other long, sim double, bridge boolean")
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -131,9 +153,21 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return cut(cut(found, F.pmod(F.xxhash64("other"), F.lit(16)).alias("salt")))
 
 
-def _descend(scratch: Scratch, nodes: DataFrame, lists: DataFrame | None, dim: int, n: int, seed: int, k: int) -> DataFrame:
-    found = _local_join(_leaves(nodes, dim, n, seed), nodes, lists, k)
-    lists = scratch.save(_nearest(found if lists is None else found.union(lists), k), "lists")
+def _descend(
+    scratch: Scratch, nodes: DataFrame, lists: DataFrame | None, dim: int, n: int, seed: int, k: int, threshold: float
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The lists after trees and rounds, and tables (node, other) of the bridges met."""
+    bridges = []
+
+    def joined(groups: DataFrame, lists: DataFrame | None) -> DataFrame:
+        found = scratch.save(_local_join(groups, nodes, lists, k, threshold), "found")
+        near = found.where("not bridge").drop("bridge")
+        after = scratch.save(_nearest(near if lists is None else near.union(lists), k), "lists")
+        bridges.append(scratch.save(found.where("bridge").select("node", "other").distinct(), "bridges"))
+        scratch.drop(found)
+        return after
+
+    lists = joined(_leaves(nodes, dim, n, seed), lists)
     for r in range(ROUNDS):
         reverse = lists.select(F.col("other").alias("group"), "node", "sim")
         named = reverse.groupBy("group").agg(F.count("*").alias("times"))
@@ -144,13 +178,13 @@ def _descend(scratch: Scratch, nodes: DataFrame, lists: DataFrame | None, dim: i
             .union(nodes.select(F.col("node").alias("group"), "node"))
             .distinct()
         )
-        after = scratch.save(_nearest(_local_join(groups, nodes, lists, k).union(lists), k), "lists")
+        after = joined(groups, lists)
         changed = after.join(lists, ["node", "other"], "left_anti").count()
         scratch.drop(lists)
         lists = after
         if changed <= SETTLED * n * k:
             break
-    return lists
+    return lists, bridges
 
 
 def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
@@ -204,21 +238,19 @@ def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _links(scratch: Scratch, nodes: DataFrame, lists: DataFrame, threshold: float, k: int) -> DataFrame:
+def _links(scratch: Scratch, nodes: DataFrame, lists: DataFrame, bridges: list[DataFrame], threshold: float) -> DataFrame:
     """(node, component, links) for all nodes; links count other nodes' copies."""
-    near = lists.where(F.col("sim") >= threshold).select("node", "other")
-    linked = scratch.save(near.union(near.select("other", "node")).distinct(), "linked")
+    linked = lists.where(F.col("sim") >= threshold).select("node", "other")
+    for table in bridges:
+        linked = linked.union(table)
     labels = scratch.save(components(scratch, linked.select(F.col("node").alias("a"), F.col("other").alias("b"))), "labels")
     named = scratch.save(
-        nodes.join(labels, "node", "left").select("node", "copies", F.coalesce("component", "node").alias("component")), "named"
+        nodes.join(labels, "node", "left").select("node", "copies", "unit", F.coalesce("component", "node").alias("component")), "named"
     )
-    full = near.groupBy("node").count().where(F.col("count") >= k).select("node")
-    saturated = scratch.save(named.join(full, "node").select("component").distinct(), "saturated")
-    inside = named.join(saturated, "component").join(nodes.select("node", "unit"), "node").select("component", "node", "copies", "unit")
+    inside = named.join(labels.select("component").distinct(), "component").select("component", "node", "copies", "unit")
     enlarged = scratch.save(_enlarged(inside, threshold), "enlarged")
-    few = linked.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("few"))
     return scratch.save(
-        named.join(enlarged, "node", "left").join(few, "node", "left").select("node", "component", F.coalesce("links", "few", F.lit(0).cast("long")).alias("links")),
+        named.join(enlarged, "node", "left").select("node", "component", F.coalesce("links", F.lit(0).cast("long")).alias("links")),
         "counted",
     )
 
@@ -275,10 +307,11 @@ def near_vectors(
             .select("node", "x.unit", "x.copies")
         )
         nodes = scratch.save(nodes, "nodes")
-        n, lists, counted = nodes.count(), None, None
+        n, lists, bridges, counted = nodes.count(), None, [], None
         for p in range(PASSES):
-            lists = _descend(scratch, nodes, lists, dim, n, 1000 * p, neighbours)
-            counted = _links(scratch, nodes, lists, threshold, neighbours)
+            lists, met = _descend(scratch, nodes, lists, dim, n, 1000 * p, neighbours, threshold)
+            bridges += met
+            counted = _links(scratch, nodes, lists, bridges, threshold)
             recall = _audit(nodes, counted, threshold, n)
             _log.info("pass %d: audited recall %.4f", p + 1, recall)
             if recall >= RECALL:

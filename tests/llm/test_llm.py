@@ -103,6 +103,32 @@ def test_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def vector_links(v, threshold=0.95):
+    """Links and the smallest reachable place of each vector, by brute force."""
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = unit @ unit.T >= threshold
+    label = np.arange(len(v))
+    while (low := np.where(hit, label[None, :], len(v)).min(axis=1)).tolist() != label.tolist():
+        label = low
+    return [(int(a), int(b)) for a, b in zip(hit.sum(axis=1) - 1, label)]
+
+
+def vector_rows(spark, v):
+    return spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+
+
+def test_vectors_in_nested_groups(spark):
+    rng = np.random.default_rng(11)
+    near = lambda of, by: of / np.linalg.norm(of) + by * rng.standard_normal(64) / 8
+    top = rng.standard_normal(64)
+    groups = [near(top, 0.17) for _ in range(20)]
+    v = np.array([near(g, 0.03) for g in groups for _ in range(40)] + list(rng.standard_normal((100, 64))))
+    want = vector_links(v)
+    assert {(n, c) for n, c in want[:800]} == {(799, 0)}
+    got = near_vectors(vector_rows(spark, v)).orderBy("vec_id").collect()
+    assert [(r["n_links"], r["component_id"]) for r in got] == want
+
+
 def test_exact_dedup_with_collisions(spark):
     texts = [RNG.choice(["a b", "a  b", "c", "d\te", "d e", "", None, "f"]) for _ in range(60)]
     for size in (16, 0):  # 0: every text in one group
