@@ -6,15 +6,19 @@ with its neighbours and some of those that have it as a neighbour, until lists h
 may be too short for all links of its node, so every group compared on the way also hands on bridges,
 a spanning forest of the links among its members, whatever the lists' length. List entries at or above
 the threshold and bridges give the components; links are then counted among all members of a
-component, compared block by block. A sample of nodes is compared with all others to audit recall; if that falls
-short, further leaves and rounds follow.
+component, compared block by block.
+
+Leaves deepen as the table grows, so the number of trees grows too: two vectors at the threshold share
+a leaf with a stated probability. A sample of nodes, linked and unlinked ones apart, is compared with
+all others to audit recall by a node's number of links; if any class falls short, further leaves and
+rounds follow, and at last all nodes are compared, block by block.
 """
 
 from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,16 @@ from talkweave.llm._shared import Scratch, components
 THRESHOLD = 0.95
 NEIGHBOURS = 12  # length of a list
 LEAF = 64  # nodes in a leaf, about
-TREES = 4
+TREES = 4  # at least, and in one step
+SHARED = 0.999  # probability that two vectors at the threshold share a leaf of a pass
 ROUNDS = 6  # of neighbours' neighbours, at most, in each pass
 SETTLED = 0.01  # share of list entries that change in a round when descent ends
 BLOCK = 256  # nodes in a block of a component
-AUDITED = 256  # nodes whose links are counted against all nodes
+ALL_BLOCK = 2048  # nodes in a block where all nodes are compared
+AUDITED = 1024  # nodes with few links found, and as many with many, counted against all nodes
+AUDITED_ALONE = 4096  # nodes without a link found, counted against all nodes
 RECALL = 0.98  # wanted of the audit
-PASSES = 3  # sets of trees and rounds until that is met
+PASSES = 3  # sets of trees and rounds until that is met; then all nodes are compared
 
 _log = logging.getLogger(__name__)
 
@@ -57,9 +64,20 @@ def _units(rows: DataFrame, dim: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, unit binary")
 
 
+def _bits(n: int) -> int:
+    """Levels of a tree over n nodes."""
+    return min(40, max(0, math.ceil(math.log2(max(n, 1) / LEAF))))
+
+
+def _trees(n: int, threshold: float) -> int:
+    """Trees so that two vectors at the threshold share a leaf with probability SHARED."""
+    one = (1 - math.acos(min(1.0, max(0.0, threshold))) / math.pi) ** _bits(n)
+    return TREES if one >= SHARED else max(TREES, math.ceil(math.log(1 - SHARED) / math.log(1 - one)))
+
+
 def _leaves(nodes: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
-    """(group, node): every tree's leaves by the signs of the node's products with random vectors."""
-    bits = min(40, max(0, math.ceil(math.log2(max(n, 1) / LEAF))))
+    """(group, node): TREES trees' leaves by the signs of the node's products with random vectors."""
+    bits = _bits(n)
     planes = np.random.default_rng(seed).standard_normal((TREES, bits, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +185,10 @@ def _descend(
         scratch.drop(found)
         return after
 
-    lists = joined(_leaves(nodes, dim, n, seed), lists)
+    for t in range(0, _trees(n, threshold), TREES):
+        before, lists = lists, joined(_leaves(nodes, dim, n, seed + t), lists)
+        if before is not None:
+            scratch.drop(before)
     for r in range(ROUNDS):
         reverse = lists.select(F.col("other").alias("group"), "node", "sim")
         named = reverse.groupBy("group").agg(F.count("*").alias("times"))
@@ -187,12 +208,13 @@ def _descend(
     return lists, bridges
 
 
-def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): links of every member with all members of its component, copies counted.
+def _paired(members: DataFrame, size: int, made: Callable[[list[tuple], list[tuple], bool], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``made`` gives for every two blocks, of ``size`` nodes about, of a component, one task each.
 
-    members: (component, node, copies, unit). Blocks of a component meet in pairs, one task each.
+    members: (component, node, copies, unit). ``made`` gets both blocks' rows (node, copies, unit) and
+    whether they are one block.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}D) as int)"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.expr(f"cast(ceil(m / {size}D) as int)"))
     rows = members.join(sizes.select("component", "blocks"), "component").withColumn(
         "block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")
     )
@@ -207,35 +229,64 @@ def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
         .sortWithinPartitions("component", "low", "high", "block")
     )
 
-    def counted(held: list[tuple]) -> pa.RecordBatch:
+    def of(held: list[tuple]) -> pa.RecordBatch | None:
         low, high = held[0][1], held[0][2]
-        first = [r for r in held if r[3] == low]
-        second = [r for r in held if r[3] == high]
-        a, b = (np.stack([np.frombuffer(r[6], np.float64) for r in part]) if part else None for part in (first, second))
-        ids, links = [r[4] for r in first], []
-        if a is None or b is None:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["node", "links"])
-        hit = a @ b.T >= threshold
-        if low == high:
-            np.fill_diagonal(hit, False)
-        links = hit @ np.array([r[5] for r in second], np.int64)
-        if low != high:
-            ids = ids + [r[4] for r in second]
-            links = np.concatenate([links, hit.T @ np.array([r[5] for r in first], np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64())], names=["node", "links"])
+        first, second = ([r[4:] for r in held if r[3] == block] for block in (low, high))
+        return made(first, second, low == high) if first and second else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if held and held[0][:3] != row[:3]:
-                    yield counted(held)
+                    if (out := of(held)) is not None:
+                        yield out
                     held = []
                 held.append(row)
-        if held:
-            yield counted(held)
+        if held and (out := of(held)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, schema)
+
+
+def _hits(first: list[tuple], second: list[tuple], same: bool, threshold: float) -> np.ndarray:
+    """Which of the first block's nodes are linked with which of the second's."""
+    a, b = (np.stack([np.frombuffer(r[2], np.float64) for r in part]) for part in (first, second))
+    hit = np.concatenate([a[i : i + BLOCK] @ b.T >= threshold for i in range(0, len(a), BLOCK)])
+    if same:
+        np.fill_diagonal(hit, False)
+    return hit
 
-    return rows.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): links of every member with all members of its component, copies counted."""
+
+    def counted(first: list[tuple], second: list[tuple], same: bool) -> pa.RecordBatch:
+        hit = _hits(first, second, same, threshold)
+        ids, links = [r[0] for r in first], hit @ np.array([r[1] for r in second], np.int64)
+        if not same:
+            ids = ids + [r[0] for r in second]
+            links = np.concatenate([links, hit.T @ np.array([r[1] for r in first], np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64())], names=["node", "links"])
+
+    return _paired(members, BLOCK, counted, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _all_bridges(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, other): a spanning forest of the links of every two blocks of all nodes; misses none."""
+
+    def bridged(first: list[tuple], second: list[tuple], same: bool) -> pa.RecordBatch:
+        hit = _hits(first, second, same, threshold)
+        ids = np.array([r[0] for r in (first if same else first + second)], np.int64)
+        if not same:
+            both = np.zeros((len(ids), len(ids)), bool)
+            both[: len(first), len(first) :], both[len(first) :, : len(first)] = hit, hit.T
+            hit = both
+        a, b = _forest(hit)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["node", "other"])
+
+    rows = nodes.select(F.lit(0).cast("long").alias("component"), "node", "copies", "unit")
+    return _paired(rows, ALL_BLOCK, bridged, "node long, other long")
 
 
 def _links(scratch: Scratch, nodes: DataFrame, lists: DataFrame, bridges: list[DataFrame], threshold: float) -> DataFrame:
@@ -255,26 +306,44 @@ def _links(scratch: Scratch, nodes: DataFrame, lists: DataFrame, bridges: list[D
     )
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, n: int) -> float:
-    """Share of the true links of AUDITED nodes, counted against all nodes, that were found."""
-    asked = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 40)) * float(n) < float(AUDITED << 40)).select("node", "unit").collect()
+def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, k: int) -> dict[int, float]:
+    """Mean share of a node's true links that were found, by class: 1 link, up to k (2), more (3).
+
+    Nodes are drawn apart by the links found, as nodes whose links were all missed are among the many
+    without any, and weigh as many nodes as they stand for. Only classes seen are given.
+    """
+    found = nodes.join(counted, "node").withColumn("drawn", F.expr(f"case when links = 0 then 0 when links <= {k} then 1 else 2 end"))
+    sizes = {r["drawn"]: r["count"] for r in found.groupBy("drawn").count().collect()}
+    share = F.lit(0.0)
+    for drawn, size in sizes.items():
+        share = F.when(F.col("drawn") == drawn, (AUDITED if drawn else AUDITED_ALONE) / size).otherwise(share)
+    draw = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 40)) < share * float(1 << 40)
+    asked = found.where(draw).select("node", "unit", "links", "drawn").collect()
     if not asked:
-        return 1.0
+        return {}
     x = np.stack([np.frombuffer(r["unit"], np.float64) for r in asked])
     ids = np.array([r["node"] for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
                 y = np.stack([np.frombuffer(u.as_buffer(), np.float64) for u in b.column(2)])
-                hit = (x @ y.T >= threshold) & (ids[:, None] != b.column(0).to_numpy()[None, :])
-                total += hit @ b.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "true"])
+                at, other = np.nonzero(x @ y.T >= threshold)
+                apart = ids[at] != b.column(0).to_numpy()[other]
+                np.add.at(total, at[apart], b.column(1).to_numpy()[other[apart]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[total > 0]), pa.array(total[total > 0])], names=["node", "true"])
 
     true = nodes.select("node", "copies", "unit").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    wanted, found = true.join(counted, "node").agg(F.sum("true"), F.sum(F.least("true", "links"))).first()
-    return found / wanted if wanted else 1.0
+    of = {r["node"]: r["true"] for r in true.collect()}
+    drawn = {d: sum(r["drawn"] == d for r in asked) for d in sizes}
+    got, all_ = {}, {}
+    for r in asked:
+        if links := of.get(r["node"]):
+            size, weight = 1 if links == 1 else 2 if links <= k else 3, sizes[r["drawn"]] / drawn[r["drawn"]]
+            got[size] = got.get(size, 0.0) + weight * min(r["links"], links) / links
+            all_[size] = all_.get(size, 0.0) + weight
+    return {size: got[size] / all_[size] for size in sorted(all_)}
 
 
 def near_vectors(
@@ -312,12 +381,14 @@ def near_vectors(
             lists, met = _descend(scratch, nodes, lists, dim, n, 1000 * p, neighbours, threshold)
             bridges += met
             counted = _links(scratch, nodes, lists, bridges, threshold)
-            recall = _audit(nodes, counted, threshold, n)
-            _log.info("pass %d: audited recall %.4f", p + 1, recall)
-            if recall >= RECALL:
+            recall = _audit(nodes, counted, threshold, neighbours)
+            _log.info("pass %d: audited recall by class %s", p + 1, recall)
+            if min(recall.values(), default=1.0) >= RECALL:
                 break
         else:
-            _log.warning("audited recall %.4f is below %.2f", recall, RECALL)
+            _log.warning("audited recall is below %.2f: comparing all nodes", RECALL)
+            bridges = [scratch.save(_all_bridges(nodes, threshold), "bridges")]
+            counted = _links(scratch, nodes, lists, bridges, threshold)
         result = nodes.join(counted, "node").select("unit", "node", "copies", "component", "links")
         own = F.col("id").isNotNull() & F.col("component").isNotNull()
         comp = F.when(own, F.col("component")).otherwise(F.col("id")).cast(kind)

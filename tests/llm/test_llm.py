@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from talkweave.llm import chat_format, license_scan, mixing, sentencepiece_codec, sharding, toxicity, url_filter
+from talkweave.llm import chat_format, embedding_dedup, license_scan, mixing, sentencepiece_codec, sharding, toxicity, url_filter
 from talkweave.llm.embedding_dedup import near_vectors
 from talkweave.llm.exact_dedup import drop_exact_copies, exact_dedup
 from talkweave.llm.minhash_dedup import drop_near_copies, near_dedup
@@ -129,6 +129,39 @@ def test_vectors_in_nested_groups(spark):
     assert [(r["n_links"], r["component_id"]) for r in got] == want
 
 
+def pairs_and_a_group(pairs, group, alone):
+    """Isolated pairs at a cosine of 0.955, one group of near copies and vectors without a link."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = unit(rng.standard_normal((pairs, 64)))
+    w = rng.standard_normal((pairs, 64))
+    w = unit(w - (w * a).sum(axis=1, keepdims=True) * a)
+    near = unit(rng.standard_normal(64)) + 0.01 * rng.standard_normal((group, 64)) / 8
+    return np.concatenate([a, 0.955 * a + (1 - 0.955**2) ** 0.5 * w, near, rng.standard_normal((alone, 64))])
+
+
+def test_vectors_in_isolated_pairs(spark):
+    v = pairs_and_a_group(400, 400, 18000)
+    got = near_vectors(vector_rows(spark, v)).orderBy("vec_id").collect()
+    missed = sum((r["n_links"], r["component_id"]) != (1, i % 400) for i, r in enumerate(got[:800]))
+    assert missed <= 2 and all(r["n_links"] == 399 for r in got[800:1200]) and all(r["n_links"] == 0 for r in got[1200:])
+
+
+def test_audit_sees_missed_pairs(spark, monkeypatch):
+    v = pairs_and_a_group(40, 400, 500)
+    want = vector_links(v)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, x.tobytes(), 1) for i, x in enumerate(u)], "node long, unit binary, copies long")
+    rows = [(i, c, 0 if i < 80 and i % 40 < 10 else n) for i, (n, c) in enumerate(want)]  # a quarter of the pairs missed
+    counted = spark.createDataFrame(rows, "node long, component long, links long")
+    assert embedding_dedup._audit(nodes, counted, 0.95, 12) == {1: 0.75, 3: 1.0}
+    # where passes do not reach the recall wanted, all nodes are compared
+    monkeypatch.setattr(embedding_dedup, "_descend", lambda scratch, nodes, *_: (scratch.save(nodes.selectExpr("node", "node as other", "0D as sim").limit(0), "lists"), []))
+    monkeypatch.setattr(embedding_dedup, "ALL_BLOCK", 100)
+    got = near_vectors(vector_rows(spark, v)).orderBy("vec_id").collect()
+    assert [(r["n_links"], r["component_id"]) for r in got] == want
+
+
 def test_exact_dedup_with_collisions(spark):
     texts = [RNG.choice(["a b", "a  b", "c", "d\te", "d e", "", None, "f"]) for _ in range(60)]
     for size in (16, 0):  # 0: every text in one group
