@@ -4,7 +4,8 @@
 2. ``exact_dedup`` keeps one of each group of equal texts.
 3. ``minhash_dedup`` keeps one of each component of near copies.
 4. ``mix_sources`` repeats and leaves out documents so that sources meet their target weights.
-5. ``sentencepiece`` encodes what is left; rows are (doc_id, source, n_tokens, ids_sha256).
+5. ``sentencepiece`` encodes what is left and decodes the ids; rows are (doc_id, source, n_tokens,
+   ids_sha256, ids, decoded_sha256), ids as little-endian uint32 bytes, begin and end included.
 """
 
 from __future__ import annotations
@@ -42,9 +43,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER))
-    return ids.select(
-        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
+    path = public_tokenizers.path(TOKENIZER)
+    ids = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), path).drop("text")
+    return sentencepiece_codec.decode(ids, path).select(
+        "doc_id",
+        "source",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

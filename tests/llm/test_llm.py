@@ -299,3 +299,16 @@ def test_pipeline_stages(spark, tmp_path):
             want[(i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest())] = mixed[i]
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in got) == want
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_keeps_and_decodes_ids(spark):
+    import corpus_pipeline
+
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = corpus_pipeline.sentencepiece(spark, docs(spark, ROWS), "").collect()
+    want = []
+    for i, t, s in ROWS:
+        ids = m.encode(t or "", add_bos=True, add_eos=True)
+        packed = np.array(ids, "<u4").tobytes()
+        want.append((i, s, len(ids), hashlib.sha256(packed).hexdigest(), packed, hashlib.sha256(m.decode(ids).encode()).hexdigest()))
+    assert collections.Counter((*r[:4], bytes(r[4]), r[5]) for r in got) == collections.Counter(want)
