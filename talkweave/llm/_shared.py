@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,19 +13,28 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` if it is set.
 
-    Only where the session names none (tests on one machine) a temporary folder is set instead.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set
+    instead; on a cluster that is an error, as executors could not read what the driver wrote there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jsc = spark.sparkContext._jsc.sc()
         held = jsc.getCheckpointDir()
         if held.isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="talkweave-checkpoints-"))
             held = jsc.getCheckpointDir()
         named = held.get()
     return named.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder while an operator works; gone when the block ends.
 
@@ -39,11 +49,7 @@ class Scratch:
         return self
 
     def __exit__(self, *exc) -> None:
-        self._delete(self.base)
-
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(self.spark, self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -54,10 +60,14 @@ class Scratch:
         return out
 
     def drop(self, table: DataFrame) -> None:
-        self._delete(table._scratch_path)
+        delete(self.spark, table._scratch_path)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """The operator's result, checkpointed so that it outlives the tables of this block."""
+        """The operator's result, checkpointed so that it outlives the tables of this block.
+
+        Its files are the one thing left behind: they are read when the caller uses the result, and
+        ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes them once it is let go.
+        """
         shared_dir(self.spark)
         return df.checkpoint(eager=True)
 

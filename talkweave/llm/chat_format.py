@@ -77,7 +77,7 @@ def format_chats(
     Defined results: null texts and null roles are empty strings; a role that the template doesn't
     know is written out, escaped, between marks of its own and is never in order; turns are sorted
     by turn number (null first), then role, then text, so ties and repeated rows have one order and
-    all stay; a null conversation id is a conversation; other columns, whatever their names, are
+    all stay; a text of any length is one segment; a null conversation id is a conversation; other columns, whatever their names, are
     neither read nor returned; an empty table gives no rows.
     """
     t = template
@@ -131,8 +131,12 @@ def read_back(formatted: DataFrame, template: Template = INSTRUCTION_TEMPLATE) -
     Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, well_formed,
     in_order. Turns are found by the marks in the text alone; the roles that ``format_chats`` had in
     hand are not looked at. Each conversation's pieces pass in order through one running parse, so
-    memory holds one batch and an unfinished turn, never a conversation. A text that does not parse
-    is counted as no turn and makes ``well_formed`` false.
+    memory holds one batch and an unfinished turn, never a conversation. A conversation is read by one
+    task, as its digest is of all turns in order: its time is bounded by its own length.
+
+    Defined results: a text that does not parse is counted as no turn and makes ``well_formed`` false;
+    a null conversation id is a conversation; turns of any length, empty ones and repeated rows count
+    as they stand; other columns are not read; an empty table gives no rows.
     """
     pieces = (
         formatted.select("conv_id", "seq", "segments", "in_order")

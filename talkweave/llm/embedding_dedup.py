@@ -3,10 +3,10 @@
 Nodes are distinct vectors. Every node keeps a list of its nearest neighbours known so far. Lists
 start from random-hyperplane leaves; then neighbours of neighbours are compared, in groups of a node
 with its neighbours and some of those that have it as a neighbour, until lists hardly change. A list
-may be too short for all links of its node, so every group compared on the way also hands on bridges,
-a spanning forest of the links among its members, whatever the lists' length. List entries at or above
-the threshold and bridges give the components; links are then counted among all members of a
-component, compared block by block.
+full of links is saturated: such lists double and their groups are joined again, up to a stated length.
+Every group compared on the way also hands on bridges, a spanning forest of the links among its members,
+whatever the lists' length. List entries at or above the threshold and bridges give the components;
+links are then counted exactly among all members of a component, compared block by block.
 
 Leaves deepen as the table grows, so the number of trees grows too: two vectors at the threshold share
 a leaf with a stated probability. A sample of nodes, linked and unlinked ones apart, is compared with
@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.llm._shared import Scratch, components
@@ -34,11 +34,14 @@ TREES = 4  # at least, and in one step
 SHARED = 0.999  # probability that two vectors at the threshold share a leaf of a pass
 ROUNDS = 6  # of neighbours' neighbours, at most, in each pass
 SETTLED = 0.01  # share of list entries that change in a round when descent ends
-BLOCK = 256  # nodes in a block of a component
+LONGEST = 96  # length up to which saturated lists double
+BLOCK = 2048  # nodes in a block of a component
+STRIP = 256  # of them, rows of similarities held at a time
 ALL_BLOCK = 2048  # nodes in a block where all nodes are compared
 AUDITED = 1024  # nodes with few links found, and as many with many, counted against all nodes
 AUDITED_ALONE = 4096  # nodes without a link found, counted against all nodes
 RECALL = 0.98  # wanted of the audit
+LEAST_RECALL = 0.9  # below that there is no result
 PASSES = 3  # sets of trees and rounds until that is met; then all nodes are compared
 
 _log = logging.getLogger(__name__)
@@ -75,7 +78,7 @@ def _trees(n: int, threshold: float) -> int:
     return TREES if one >= SHARED else max(TREES, math.ceil(math.log(1 - SHARED) / math.log(1 - one)))
 
 
-def _leaves(nodes: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
+def _leaves(scratch: Scratch, nodes: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
     """(group, node): TREES trees' leaves by the signs of the node's products with random vectors."""
     bits = _bits(n)
     planes = np.random.default_rng(seed).standard_normal((TREES, bits, dim))
@@ -89,8 +92,9 @@ def _leaves(nodes: DataFrame, dim: int, n: int, seed: int) -> DataFrame:
                 code = ((x @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code * TREES + t)], names=["node", "leaf"])
 
-    leaves = nodes.select("node", "unit").mapInArrow(run, "node long, leaf long")
-    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("members"))
+    leaves = scratch.save(nodes.select("node", "unit").mapInArrow(run, "node long, leaf long"), "leaves")
+    # written, so that the join below reads two plain shuffles, which adaptive execution can split
+    sizes = scratch.save(leaves.groupBy("leaf").agg(F.count("*").alias("members")), "sizes")
     part = F.expr(f"pmod(xxhash64(node, leaf), cast(ceil(members / {2 * LEAF}D) as bigint))")  # of a leaf that is too large
     return leaves.join(sizes, "leaf").select(F.xxhash64(F.lit(seed), "leaf", part).alias("group"), "node")
 
@@ -159,53 +163,84 @@ def _local_join(groups: DataFrame, nodes: DataFrame, lists: DataFrame | None, k:
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
-    """(node, other, sim): each node's k nearest; a node named very often is first cut by salt."""
-
-    def cut(rows: DataFrame, *by) -> DataFrame:
-        best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("sim")).alias("near"), "other")), True), 1, k)
-        kept = rows.groupBy("node", *by).agg(best.alias("best")).select("node", F.inline("best"))
-        return kept.select("node", "other", (-F.col("near")).alias("sim"))
-
+    """(node, other, sim): each node's k nearest. The limit on the row number also holds before the
+    shuffle, so a node named very often costs k rows for each task, and none are gathered."""
     # one similarity for a pair, whichever group it came from
     found = found.groupBy("node", "other").agg(F.max("sim").alias("sim"))
-    return cut(cut(found, F.pmod(F.xxhash64("other"), F.lit(16)).alias("salt")))
+    order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
+
+
+def _around(nodes: DataFrame, lists: DataFrame, k: int, seed: int, centres: DataFrame | None = None) -> DataFrame:
+    """(group, node): a node, its neighbours and about k of those that have it as a neighbour, for all
+    nodes or for ``centres``."""
+    reverse = lists.select(F.col("other").alias("group"), "node")
+    named = reverse.groupBy("group").agg(F.count("*").alias("times"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "group", "node"), F.lit(1 << 20)) * F.col("times") < F.lit(k << 20)
+    groups = (
+        lists.select(F.col("node").alias("group"), F.col("other").alias("node"))
+        .union(reverse.join(named, "group").where(draw).select("group", "node"))
+        .union(nodes.select(F.col("node").alias("group"), "node"))
+    )
+    return (groups if centres is None else groups.join(centres, "group", "left_semi")).distinct()
 
 
-def _descend(
-    scratch: Scratch, nodes: DataFrame, lists: DataFrame | None, dim: int, n: int, seed: int, k: int, threshold: float
-) -> tuple[DataFrame, list[DataFrame]]:
-    """The lists after trees and rounds, and tables (node, other) of the bridges met."""
-    bridges = []
+class _Descent:
+    """Neighbour lists of all nodes, and tables (node, other) of the bridges met on the way."""
 
-    def joined(groups: DataFrame, lists: DataFrame | None) -> DataFrame:
-        found = scratch.save(_local_join(groups, nodes, lists, k, threshold), "found")
+    def __init__(self, scratch: Scratch, nodes: DataFrame, dim: int, n: int, k: int, threshold: float):
+        self.scratch, self.nodes, self.dim, self.n, self.k, self.threshold = scratch, nodes, dim, n, k, threshold
+        self.lists: DataFrame | None = None
+        self.bridges: list[DataFrame] = []
+
+    def _join(self, groups: DataFrame, lists: DataFrame | None, k: int, linked: bool = False) -> DataFrame:
+        """The lists after one local join; ``linked``: of links only."""
+        found = self.scratch.save(_local_join(groups, self.nodes, lists, k, self.threshold), "found")
         near = found.where("not bridge").drop("bridge")
-        after = scratch.save(_nearest(near if lists is None else near.union(lists), k), "lists")
-        bridges.append(scratch.save(found.where("bridge").select("node", "other").distinct(), "bridges"))
-        scratch.drop(found)
+        if linked:
+            near = near.where(F.col("sim") >= self.threshold)
+        after = self.scratch.save(_nearest(near if lists is None else near.union(lists), k), "lists")
+        self.bridges.append(self.scratch.save(found.where("bridge").select("node", "other").distinct(), "bridges"))
+        self.scratch.drop(found)
         return after
 
-    for t in range(0, _trees(n, threshold), TREES):
-        before, lists = lists, joined(_leaves(nodes, dim, n, seed + t), lists)
-        if before is not None:
-            scratch.drop(before)
-    for r in range(ROUNDS):
-        reverse = lists.select(F.col("other").alias("group"), "node", "sim")
-        named = reverse.groupBy("group").agg(F.count("*").alias("times"))
-        draw = F.pmod(F.xxhash64(F.lit(seed + r), "group", "node"), F.lit(1 << 20)) * F.col("times") < F.lit(k << 20)
-        groups = (
-            lists.select(F.col("node").alias("group"), F.col("other").alias("node"))
-            .union(reverse.join(named, "group").where(draw).select("group", "node"))
-            .union(nodes.select(F.col("node").alias("group"), "node"))
-            .distinct()
-        )
-        after = joined(groups, lists)
-        changed = after.join(lists, ["node", "other"], "left_anti").count()
-        scratch.drop(lists)
-        lists = after
-        if changed <= SETTLED * n * k:
-            break
-    return lists, bridges
+    def descend(self, seed: int) -> None:
+        """Trees, then rounds of neighbours' neighbours until lists hardly change."""
+        for t in range(0, _trees(self.n, self.threshold), TREES):
+            before = self.lists
+            leaves = _leaves(self.scratch, self.nodes, self.dim, self.n, seed + t)
+            self.lists = self._join(leaves, before, self.k)
+            if before is not None:
+                self.scratch.drop(before)
+        for r in range(ROUNDS):
+            before = self.lists
+            self.lists = self._join(_around(self.nodes, before, self.k, seed + r), before, self.k)
+            changed = self.lists.join(before, ["node", "other"], "left_anti").count()
+            self.scratch.drop(before)
+            if changed <= SETTLED * self.n * self.k:
+                break
+
+    def links(self, seed: int) -> DataFrame:
+        """(node, other) of list entries at or above the threshold, lists enlarged where saturated.
+
+        A list is saturated when it is full of links. Its node's list doubles, and groups around such
+        nodes are joined again; as groups grow like lists, fewer centres are drawn, so that a node
+        still meets about as many groups and every doubling costs about one round. Lists that are
+        still saturated at ``LONGEST`` are not needed in full: their groups' bridges connect what
+        they hold, and links are counted among all members of their components.
+        """
+        k, held = self.k, self.scratch.save(self.lists.where(F.col("sim") >= self.threshold), "links")
+        while k < LONGEST:
+            full = held.groupBy(F.col("node").alias("group")).agg(F.count("*").alias("m")).where(F.col("m") >= k).select("group")
+            share = self.k / k
+            centres = self.scratch.save(full.where(F.pmod(F.xxhash64(F.lit(seed + k), "group"), F.lit(1 << 20)) < share * (1 << 20)), "centres")
+            if centres.isEmpty():
+                break
+            k *= 2
+            before = held
+            held = self._join(_around(self.nodes, before, k, seed + k, centres), before, k, linked=True)
+            self.scratch.drop(before)
+        return held.select("node", "other")
 
 
 def _paired(members: DataFrame, size: int, made: Callable[[list[tuple], list[tuple], bool], pa.RecordBatch], schema: str) -> DataFrame:
@@ -252,13 +287,13 @@ def _paired(members: DataFrame, size: int, made: Callable[[list[tuple], list[tup
 def _hits(first: list[tuple], second: list[tuple], same: bool, threshold: float) -> np.ndarray:
     """Which of the first block's nodes are linked with which of the second's."""
     a, b = (np.stack([np.frombuffer(r[2], np.float64) for r in part]) for part in (first, second))
-    hit = np.concatenate([a[i : i + BLOCK] @ b.T >= threshold for i in range(0, len(a), BLOCK)])
+    hit = np.concatenate([a[i : i + STRIP] @ b.T >= threshold for i in range(0, len(a), STRIP)])
     if same:
         np.fill_diagonal(hit, False)
     return hit
 
 
-def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
+def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): links of every member with all members of its component, copies counted."""
 
     def counted(first: list[tuple], second: list[tuple], same: bool) -> pa.RecordBatch:
@@ -289,9 +324,8 @@ def _all_bridges(nodes: DataFrame, threshold: float) -> DataFrame:
     return _paired(rows, ALL_BLOCK, bridged, "node long, other long")
 
 
-def _links(scratch: Scratch, nodes: DataFrame, lists: DataFrame, bridges: list[DataFrame], threshold: float) -> DataFrame:
+def _links(scratch: Scratch, nodes: DataFrame, linked: DataFrame, bridges: list[DataFrame], threshold: float) -> DataFrame:
     """(node, component, links) for all nodes; links count other nodes' copies."""
-    linked = lists.where(F.col("sim") >= threshold).select("node", "other")
     for table in bridges:
         linked = linked.union(table)
     labels = scratch.save(components(scratch, linked.select(F.col("node").alias("a"), F.col("other").alias("b"))), "labels")
@@ -299,9 +333,9 @@ def _links(scratch: Scratch, nodes: DataFrame, lists: DataFrame, bridges: list[D
         nodes.join(labels, "node", "left").select("node", "copies", "unit", F.coalesce("component", "node").alias("component")), "named"
     )
     inside = named.join(labels.select("component").distinct(), "component").select("component", "node", "copies", "unit")
-    enlarged = scratch.save(_enlarged(inside, threshold), "enlarged")
+    counts = scratch.save(_link_counts(inside, threshold), "counts")
     return scratch.save(
-        named.join(enlarged, "node", "left").select("node", "component", F.coalesce("links", F.lit(0).cast("long")).alias("links")),
+        named.join(counts, "node", "left").select("node", "component", F.coalesce("links", F.lit(0).cast("long")).alias("links")),
         "counted",
     )
 
@@ -327,7 +361,7 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, k: int) -> di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for whole in batches:
-            for b in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
+            for b in (whole.slice(i, STRIP) for i in range(0, whole.num_rows, STRIP)):
                 y = np.stack([np.frombuffer(u.as_buffer(), np.float64) for u in b.column(2)])
                 at, other = np.nonzero(x @ y.T >= threshold)
                 apart = ids[at] != b.column(0).to_numpy()[other]
@@ -349,54 +383,58 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, k: int) -> di
 def near_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS
 ) -> DataFrame:
-    """One row per row of ``vectors``: (id, n_links, component_id, kept).
+    """One row per row of ``vectors``: (id, n_links, component_id, kept, audited_recall).
 
     ``n_links`` counts the other vectors found with a cosine of at least ``threshold``, copies
-    included; ``component_id`` is the smallest id reachable by links.
+    included; ``component_id`` is the smallest id reachable by links. ``audited_recall`` is one number
+    for the run: the share of audited nodes' true links that was found, of the class of nodes where it
+    is lowest (1 where no audited node has a link). Below ``LEAST_RECALL`` there is no result but an error.
 
     Defined results: a vector that is null, zero, holds a null or a non-finite component, or is not of
     the table's most common length links with nothing (component its own id, kept), as does a null
-    id (component null); rows that repeat id and vector are one vector; of several vectors under
-    one id the first in byte order links; other columns, whatever their names, are neither read nor
-    returned; an empty table gives no rows.
+    id (component null); rows that repeat id and vector are one vector; different vectors under one id
+    are different vectors, each with links and a component of its own, named by the smallest id in it;
+    of ties among neighbours the smaller node comes first in a list, which no count depends on; a
+    vector of any length is one value of a row; other columns, whatever their names, are neither read
+    nor returned; an empty table gives no rows.
     """
-    kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     common = rows.where("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 0
     with Scratch(vectors.sparkSession) as scratch:
         units = scratch.save(_units(rows, dim), "units")
-        nodes = (
-            units.where("unit is not null and id is not null")
-            .distinct()
-            .groupBy("unit")
-            .agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies"))
-            .groupBy("node")
-            .agg(F.min(F.struct("unit", "copies")).alias("x"))
-            .select("node", "x.unit", "x.copies")
-        )
-        nodes = scratch.save(nodes, "nodes")
-        n, lists, bridges, counted = nodes.count(), None, [], None
+        # a node is a distinct vector. Its number is made once, when the table is written
+        own = units.where("unit is not null and id is not null").distinct().groupBy("unit")
+        own = own.agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
+        nodes = scratch.save(own.select("node", "unit", "copies", "least"), "nodes")
+        n, plain = nodes.count(), nodes.select("node", "unit", "copies")
+        descent = _Descent(scratch, plain, dim, n, neighbours, threshold)
         for p in range(PASSES):
-            lists, met = _descend(scratch, nodes, lists, dim, n, 1000 * p, neighbours, threshold)
-            bridges += met
-            counted = _links(scratch, nodes, lists, bridges, threshold)
-            recall = _audit(nodes, counted, threshold, neighbours)
+            descent.descend(1000 * p)
+            counted = _links(scratch, plain, descent.links(1000 * p), descent.bridges, threshold)
+            recall = _audit(plain, counted, threshold, neighbours)
             _log.info("pass %d: audited recall by class %s", p + 1, recall)
             if min(recall.values(), default=1.0) >= RECALL:
                 break
         else:
             _log.warning("audited recall is below %.2f: comparing all nodes", RECALL)
-            bridges = [scratch.save(_all_bridges(nodes, threshold), "bridges")]
-            counted = _links(scratch, nodes, lists, bridges, threshold)
-        result = nodes.join(counted, "node").select("unit", "node", "copies", "component", "links")
-        own = F.col("id").isNotNull() & F.col("component").isNotNull()
-        comp = F.when(own, F.col("component")).otherwise(F.col("id")).cast(kind)
+            bridges = scratch.save(_all_bridges(plain, threshold), "bridges")
+            counted = _links(scratch, plain, bridges, [], threshold)
+            recall = _audit(plain, counted, threshold, neighbours)
+        lowest = min(recall.values(), default=1.0)
+        if lowest < LEAST_RECALL:
+            raise RuntimeError(f"audited recall {recall} is below {LEAST_RECALL}")
+        found = nodes.join(counted, "node")
+        names = found.groupBy("component").agg(F.min("least").alias("name"))
+        result = scratch.save(found.join(names, "component").select("unit", "copies", "links", "name"), "result")
+        links = F.col("id").isNotNull() & F.col("name").isNotNull()
+        comp = F.when(links, F.col("name")).otherwise(F.col("id"))
         return scratch.keep(
             units.join(result, "unit", "left").select(
                 F.col("id").alias(id_col),
-                F.when(own, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
+                F.when(links, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
                 comp.alias("component_id"),
                 F.col("id").eqNullSafe(comp).alias("kept"),
+                F.lit(float(lowest)).alias("audited_recall"),
             )
         )

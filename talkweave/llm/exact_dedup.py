@@ -30,9 +30,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of groups with more than one row are then compared, byte by byte, with the text of the group's
     smallest id; rows that differ (hash collisions) form groups of their own by the text itself.
 
-    Defined results: null texts are empty texts; a null id never beats another id, and a group of
-    null ids only keeps all its rows (keep_id null); rows that repeat id and text are the same
-    document and share one verdict; other columns, whatever their names, are neither read nor
+    Defined results: null texts are empty texts; very long texts are hashed and compared whole; a null
+    id never beats another id, and a group of null ids only keeps all its rows (keep_id null); rows
+    that repeat id and text are the same document, tie for the smallest id and share one verdict;
+    other columns, whatever their names, are neither read nor
     returned; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
@@ -79,7 +80,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Defined results: those of ``exact_dedup``; rows that repeat id and text are all kept or all
+    dropped; rows kept hold nulls and all columns, whatever their names; an empty table gives no rows.
+    """
     kept = (
         exact_dedup(docs, id_col, text_col)
         .where("kept")
@@ -89,7 +94,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = docs.alias("d")
     return d.join(
         kept.alias("k"),
-        F.col(f"d.{id_col}").eqNullSafe(F.col("k.kept_id"))
-        & (content_hash(normalised(F.col(f"d.{text_col}"))) == F.col("k.kept_sha")),
+        F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.kept_id"))
+        & (content_hash(normalised(F.col(f"d.`{text_col}`"))) == F.col("k.kept_sha")),
         "left_semi",
     )

@@ -35,7 +35,9 @@ TEMPLATES = {
 }
 THRESHOLD = (4, 5)  # share of a template's tokens that a block must hold
 BLOCK_WORDS = 24
-STRIDE = 12
+INSERTED = 3  # words that a passage may have between a template's
+# the longest template, so many words longer, lies whole in some block wherever it begins
+STRIDE = BLOCK_WORDS - max(len(t.split()) for t in TEMPLATES.values()) - INSERTED + 1
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are put in lower case
 
@@ -99,8 +101,10 @@ def scan_licenses(
     share their blocks.
 
     Defined results: null and empty texts have no words and no hits; a text shorter than a block is
-    one block; null ids and repeated rows stay as they are; other columns, whatever their names, are
-    neither read nor returned; an empty table gives no rows.
+    one block; a very long one is read whole, and costs a row for each of its words that a template
+    has; null ids and repeated rows stay as they are; a block that meets several templates, or one
+    several times over, has a hit for each; other columns, whatever their names, are neither read nor
+    returned; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sets = {label: sorted(set(t.split())) for label, t in templates.items()}

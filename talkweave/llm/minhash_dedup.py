@@ -91,39 +91,44 @@ def _half_keys(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints(rows: DataFrame, id_type: str) -> DataFrame:
-    """(id, n, set_key, halves) of (id, text)."""
+def _prints(rows: DataFrame) -> DataFrame:
+    """(id, text_md5, n, set_key, halves) of (id, text_md5, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         np.seterr(over="ignore")
         for b in batches:
             n, keys, halves = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle(t.as_py())
                 n.append(len(s))
                 keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 halves.append(_half_keys(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
-                names=["id", "n", "set_key", "halves"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
+                names=["id", "text_md5", "n", "set_key", "halves"],
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, n long, set_key binary, halves array<long>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, text_md5 binary, n long, set_key binary, halves array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(node, set) of (node, set_key, text); rows whose text isn't the node's are dropped."""
+    """(node, set) of (node, set_key, text); rows whose text isn't the node's are dropped, and rows of
+    one node that follow each other count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingle, last = Shingler(), None
         np.seterr(over="ignore")
         for b in batches:
             nodes, sets, held = [], [], 0
             for node, key, t in zip(b.column(0), b.column(1), b.column(2)):
+                if node.as_py() == last:
+                    continue
                 s = shingle(t.as_py()).tobytes()
                 if xxhash.xxh128_digest(s) == key.as_py():
-                    nodes.append(node.as_py())
+                    last = node.as_py()
+                    nodes.append(last)
                     sets.append(s)
                     held += len(s)
                 if held >= PIECE_BYTES:
@@ -171,38 +176,47 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     there on nothing is left out.
 
     Defined results: null texts and texts without words have no shingles and link with nothing; with
-    fewer than five words the whole sequence is the one shingle; rows that repeat an id are the same
-    document, linked by any of its texts; a null id is linked with nothing (component null, kept);
+    fewer than five words the whole sequence is the one shingle; a very long text is shingled whole;
+    rows that repeat id and text are one document; different texts under one id are different
+    documents, each with a component of its own, named by the smallest id in it; a null id is linked
+    with nothing (component null, kept); documents with equal sets tie, and the smallest id names them;
     other columns, whatever their names, are neither read nor returned; an empty table gives no rows.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        prints = scratch.save(_prints(rows, id_type), "prints")
-        # a node: one distinct set, named by its smallest id
-        nodes = prints.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("halves").alias("halves"))
-        nodes = scratch.save(nodes.withColumn("node", F.col("node").cast("long")), "nodes")
-        buckets = _buckets(scratch, nodes)
-        wanted = buckets.select("node").distinct().join(nodes.select("node", "set_key"), "node")
-        sets = scratch.save(
-            _sets(rows.join(wanted, F.col("id") == F.col("node")).select("node", "set_key", "text")), "sets"
-        )
-        links = _find_links(scratch, buckets, sets)
-        labels = scratch.save(components(scratch, links), "labels")
-        named = nodes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-        # nodes that only share an id are one document
-        named = scratch.save(named, "named")
-        comp = F.when(F.col("id").isNotNull(), F.coalesce(F.col("component"), F.col("id"))).cast(id_type)
-        return scratch.keep(
-            prints.select("id", "n", "set_key")
-            .join(named, "set_key", "left")
-            .select(
-                F.col("id").alias(id_col),
-                F.col("n").alias("n_shingles"),
-                comp.alias("component_id"),
-                F.col("id").eqNullSafe(comp).alias("kept"),
-            )
-        )
+        return scratch.keep(_components(scratch, docs, id_col, text_col).drop("text_md5").withColumnRenamed("id", id_col))
+
+
+def _text_md5(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _components(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_md5, n_shingles, component_id, kept) as :func:`near_dedup` says."""
+    rows = docs.select(F.col(id_col).alias("id"), _text_md5(F.col(text_col)).alias("text_md5"), F.col(text_col).alias("text"))
+    prints = scratch.save(_prints(rows), "prints")
+    # a node: one distinct set, held by the row with the smallest id. Its number is made once, when the table is written
+    nodes = prints.where("n > 0 and id is not null").groupBy("set_key")
+    nodes = nodes.agg(F.min(F.struct("id", "text_md5")).alias("held"), F.min("n").alias("n"), F.min("halves").alias("halves"))
+    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    buckets = _buckets(scratch, nodes)
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "set_key", "held.*"), "node")
+    texts = rows.join(wanted, ["id", "text_md5"]).select("node", "set_key", "text")
+    sets = scratch.save(_sets(texts), "sets")
+    times = sets.groupBy("node").count().agg(F.max("count")).first()[0] or 0
+    if times > 1:  # rows that repeat id and text and met in several tasks
+        sets = scratch.save(sets.dropDuplicates(["node"]), "sets")
+    links = _find_links(scratch, buckets, sets)
+    labels = scratch.save(components(scratch, links), "labels")
+    named = nodes.join(labels, "node", "left").select("set_key", "held.id", F.coalesce("component", "node").alias("component"))
+    named = scratch.save(named, "named")
+    least = named.groupBy("component").agg(F.min("id").alias("name"))
+    named = scratch.save(named.join(least, "component").select("set_key", "name"), "names")
+    comp = F.when(F.col("id").isNotNull(), F.coalesce(F.col("name"), F.col("id")))
+    return (
+        prints.select("id", "text_md5", "n", "set_key")
+        .join(named, "set_key", "left")
+        .select("id", "text_md5", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    )
 
 
 def _buckets(scratch: Scratch, nodes: DataFrame) -> DataFrame:
@@ -334,7 +348,14 @@ def _prefix_pairs(scratch: Scratch, members: DataFrame, sets: DataFrame) -> Data
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`near_dedup` keeps, with all their columns."""
-    kept = near_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
+    """The rows of ``docs`` that :func:`near_dedup` keeps, with all their columns.
+
+    Defined results: those of ``near_dedup``; rows that repeat id and text are all kept or all
+    dropped; rows kept hold nulls and all columns, whatever their names; an empty table gives no rows.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        kept = _components(scratch, docs, id_col, text_col).where("kept")
+        kept = scratch.keep(kept.select(F.col("id").alias("kept_id"), F.col("text_md5").alias("kept_md5")).distinct())
     d = docs.alias("d")
-    return d.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.kept_id")), "left_semi")
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.kept_id")) & (_text_md5(F.col(f"d.`{text_col}`")) == F.col("k.kept_md5"))
+    return d.join(kept.alias("k"), same, "left_semi")

@@ -84,7 +84,13 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken")
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.size("shards")).alias("taken"),
+        F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"),
+        F.array_join(F.col("places").cast("array<string>"), ",").alias("places"),
     )
 
 
@@ -181,47 +187,86 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+# The tree is drawn here from the distribution's closed form, not by the recurrence that mixing.py uses.
 _OP8_SQL = """
-WITH d AS (
+WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         cast('0x' || substr(md5('mix:0:' || coalesce(cast(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+         cast('0x' || substr(md5('mix:0:' || coalesce(cast(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (
-  SELECT source, cast(sum(size) AS BIGINT) AS source_size,
-         cast((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight
+  SELECT source, cast(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS rank
   FROM d GROUP BY source),
 f AS (
-  SELECT *, source_size * 3 AS cap, cast(sum(source_size) OVER () AS BIGINT) AS total,
-         cast(coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST
-                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS full_caps,
-         cast(sum(weight) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST
-                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS open_weight,
-         row_number() OVER (ORDER BY source_size * 3 / weight, source NULLS LAST) AS place
-  FROM s),
+  SELECT *, rank % 3 + 1 AS weight, source_size * 3 AS cap, cast(sum(source_size) OVER () AS BIGINT) AS total FROM s),
+p AS (
+  SELECT *, cast(coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS full_caps,
+         cast(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS open_weight,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+  FROM f),
 l AS (
   SELECT *, cast(total - full_caps AS DOUBLE) / cast(open_weight AS DOUBLE) AS level,
          cast(cap AS DOUBLE) <= cast(weight AS DOUBLE) * (cast(total - full_caps AS DOUBLE) / cast(open_weight AS DOUBLE)) AS stopped
-  FROM f),
+  FROM p),
 t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, rank,
          CASE WHEN stopped THEN cast(cap AS DOUBLE)
               ELSE cast(weight AS DOUBLE) * (SELECT arg_min(level, place) FROM l WHERE NOT stopped) END AS target
   FROM l),
 r AS (
   SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
 c AS (
-  SELECT d.*, source_size, target, passes, target - cast(passes * source_size AS DOUBLE) AS rest,
+  SELECT d.*, source_size, rank, target, passes, target - cast(passes * source_size AS DOUBLE) AS rest,
          cast(sum(size) OVER (PARTITION BY d.source ORDER BY h) AS BIGINT) AS reached
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-g AS (
+g AS MATERIALIZED (
   SELECT *, max(CASE WHEN reached <= rest THEN h ELSE -1 END) OVER (PARTITION BY source) AS cut,
+         min(CASE WHEN reached > rest THEN h END) OVER (PARTITION BY source) AS past,
          rest - max(CASE WHEN reached <= rest THEN reached ELSE 0 END) OVER (PARTITION BY source) AS gap
   FROM c),
 x AS (
-  SELECT source, arg_min(h, abs(gap - size)) AS extra FROM g WHERE h > cut AND abs(gap - size) < gap GROUP BY source)
-SELECT doc_id, size, source_size, target,
-       cast(size * (passes + CASE WHEN source_size > 0 AND (h <= cut OR h = extra) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM g LEFT JOIN x ON g.source IS NOT DISTINCT FROM x.source
+  SELECT rank, arg_min(h, (abs(gap - size), h)) AS extra FROM g WHERE h > cut AND abs(gap - size) < gap GROUP BY rank),
+q AS MATERIALIZED (
+  SELECT rank, CASE WHEN any_value(source_size) = 0 THEN 0 ELSE any_value(passes) * 4096 END + coalesce(any_value(past) // 281474976710656 + 1, 0) AS draws
+  FROM g GROUP BY rank),
+tree(shard, width, q, i, population, drawn, l) AS (
+  SELECT 0, 16, list(draws ORDER BY rank), 0, cast(sum(draws) AS BIGINT), cast(sum(draws) * 8 // 16 AS BIGINT), cast([] AS BIGINT[]) FROM q
+  UNION ALL
+  SELECT n.shard, n.width, n.q, n.i, n.population, n.drawn, n.l FROM (
+    SELECT unnest(CASE WHEN i < len(q)
+      THEN [{'shard': shard, 'width': width, 'q': q, 'i': i + 1, 'population': population - marked, 'drawn': drawn - k, 'l': list_append(l, k)}]
+      ELSE [{'shard': shard, 'width': width // 2, 'q': l, 'i': 0, 'population': cast(list_sum(l) AS BIGINT),
+             'drawn': cast(list_sum(l) * (width // 2 // 2) // greatest(width // 2, 1) AS BIGINT), 'l': cast([] AS BIGINT[])},
+            {'shard': shard + width // 2, 'width': width - width // 2, 'q': rest, 'i': 0, 'population': cast(list_sum(rest) AS BIGINT),
+             'drawn': cast(list_sum(rest) * ((width - width // 2) // 2) // (width - width // 2) AS BIGINT), 'l': cast([] AS BIGINT[])}] END) AS n
+    FROM (
+      SELECT *, low + len(list_filter(range(1, len(w)), lambda j: list_sum(w[1:j]) <= goal)) AS k FROM (
+        SELECT *, u * list_sum(w) AS goal FROM (
+          SELECT *, list_transform(lw, lambda y: exp(y - list_max(lw))) AS w FROM (
+            SELECT *, list_transform(range(low, high + 1), lambda y: cast(0 AS DOUBLE) - lgamma(y + 1) - lgamma(marked - y + 1) - lgamma(drawn - y + 1)
+                                     - lgamma(population - marked - drawn + y + 1)) AS lw FROM (
+              SELECT *, greatest(least_, cast(floor(mean) AS BIGINT) - reach) AS low, least(drawn, marked, cast(floor(mean) AS BIGINT) + reach) AS high FROM (
+                SELECT *, cast(ceil(12 * sqrt(greatest(mean * (1 - marked / greatest(population, 1.0)) * (population - drawn) / greatest(population - 1, 1.0), 0))) AS BIGINT) + 20 AS reach FROM (
+                  SELECT *, greatest(0, drawn - (population - marked)) AS least_, cast(drawn AS DOUBLE) * marked / greatest(population, 1.0) AS mean,
+                         cast('0x' || substr(md5('draw:0:' || shard || ':' || width || ':0:' || i), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+                  FROM (SELECT *, coalesce(q[i + 1], 0) AS marked, list_transform(range(1, len(q) + 1), lambda y: q[y] - coalesce(l[y], 0)) AS rest FROM tree WHERE width > 1)))))))))),
+e AS (
+  SELECT rank, list(ending ORDER BY shard) AS ends FROM (
+    SELECT shard, rank, sum(quota) OVER (PARTITION BY rank ORDER BY shard) AS ending
+    FROM (SELECT shard, unnest(q) AS quota, generate_subscripts(q, 1) - 1 AS rank FROM tree WHERE width = 1)) GROUP BY rank),
+b AS (
+  SELECT g.*, h // 281474976710656 AS block, past // 281474976710656 AS cut_block, extra, ends
+  FROM g JOIN e ON e.rank = g.rank LEFT JOIN x ON x.rank = g.rank),
+y AS (
+  SELECT *, list_filter([{'turn': z, 'draw': z * 4096 + CASE WHEN z < passes
+      THEN (block * (4 * (cast('0x' || substr(md5('turn:0:' || z), 1, 6) AS BIGINT) % 1024) + 1) + z) % 4096
+      WHEN h = coalesce(extra, -1) THEN least(block, cut_block) ELSE block END} FOR z IN range(0, passes + 1)
+      IF z < passes OR coalesce(block < cut_block, false) OR h <= cut OR h = coalesce(extra, -1)],
+    lambda v: v.draw < ends[-1]) AS turns
+  FROM b)
+SELECT doc_id, size, source_size, target, cast(size * len(turns) AS BIGINT) AS taken,
+       array_to_string(list_transform(turns, lambda v: len(list_filter(ends, lambda z: z <= v.draw))), ',') AS shards,
+       array_to_string(list_transform(turns, lambda v: cast('0x' || substr(md5('place:0:' || h || ':' || v.turn), 1, 15) AS BIGINT)), ',') AS places
+FROM y
 """
 
 _OP9_SQL = """

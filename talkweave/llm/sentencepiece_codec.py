@@ -119,8 +119,10 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
     """``df`` with ``out_col``: the text's ids, begin and end included, as little-endian uint32 bytes.
 
     Ids are the library's own for the whole text without sampling. Defined results: a null text is
-    an empty text (begin and end only); rows, repeated or with nulls elsewhere, stay as they are; a
-    name that ``df`` already has, whatever the case, is an error; an empty table gives no rows.
+    an empty text (begin and end only); a very long text, and a very long word, is encoded whole; the
+    library settles ties between segmentations; rows, repeated or with nulls elsewhere, stay as they
+    are, with all columns; a name that ``df`` already has, whatever the case, is an error; an empty
+    table gives no rows.
     """
     if spare_name(df, out_col) != out_col:
         raise ValueError(f"column {out_col} exists")
@@ -133,9 +135,10 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with ``out_col``: the library's decoding of the packed ids (null ids: an empty text).
+    """``df`` with ``out_col``: the library's decoding of the packed ids.
 
-    Repeated rows stay; a name that ``df`` has is an error; an empty table gives no rows.
+    Defined results: null and empty ids give an empty text; ids of any length are decoded whole; rows,
+    repeated or with nulls elsewhere, stay as they are; a name that ``df`` has is an error; an empty table gives no rows.
     """
     if spare_name(df, out_col) != out_col:
         raise ValueError(f"column {out_col} exists")

@@ -2,15 +2,15 @@
 
 Rows are ordered by a hash of their text, so equal texts lie together. A size-weighted sample of
 keys gives splitters at its quantiles; the exact bytes of every range are then summed, ranges that
-hold too much are split again by a sample of their own, and shards take runs of whole ranges; a few
-ranges then move from the fullest shard to the emptiest. Groups
-of equal texts too large for a range are ranges by themselves; those larger than a shard's part are
-split by a hash of the id.
+hold too much are split again by a denser sample of their own until none does, and shards take runs of
+whole ranges; a few ranges then move from the fullest shard to the emptiest. Groups of equal texts too
+large for a range are ranges by themselves; those larger than a shard's part, and no others, are split.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ from talkweave.llm._shared import Scratch
 
 RANGES = 64  # ranges per shard
 SAMPLE = 32  # sampled keys per range
-ROUNDS = 3  # times that overfull ranges are split again by samples
+ROUNDS = 40  # times that overfull ranges are split again, each by a denser sample; beyond that is an error
 
 
 def text_size(text: Column) -> Column:
@@ -53,14 +53,17 @@ def assign_shards(
 
     ``size`` is the text's UTF-8 bytes plus 1, ``slot`` counts the rows of a shard from 0 without
     gaps. The law is bytes: sizes of shards are near equal (within about a range, a 64th of a shard).
-    Equal texts are in one shard unless together they exceed a shard's part.
+    Equal texts are in one shard unless together they exceed a shard's part; where groups just below a
+    part leave no other way, that law comes before equal sizes.
 
     On the driver are: splitters, sums for each range and the groups that exceed a range's part: all
     bounded by ``shards * ranges`` (a sample holds its expected 32 keys per range and little more).
 
-    Defined results: a null text has size 1, crc 0 and is the same as an empty text; null ids and
-    repeated rows get slots of their own; other columns, whatever their names, are neither read nor
-    returned; an empty table gives no rows.
+    Defined results: a null text has size 1, crc 0 and is the same as an empty text; a text larger
+    than a shard's part is one row and stays whole; null ids and repeated rows get slots of their own;
+    slots within a range go by key, id, size and crc, and rows alike in all four are interchangeable;
+    of equally full shards the first is taken; other columns, whatever their names, are neither read
+    nor returned; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     with Scratch(docs.sparkSession) as scratch:
@@ -93,13 +96,18 @@ def assign_shards(
             over = sorted(k for k, b in held.items() if b > 2 * fine)
             if not over:
                 break
+            # no text in them exceeds a range, so every overfull range holds several keys
             inside = small.where(_range_of(F.col("key"), splitters).isin(over))
-            more, by_range = [], {}
-            for k in sample(inside, fine / SAMPLE, r + 1):
-                by_range.setdefault(bisect.bisect_right(splitters, k), []).append(k)
-            for own in by_range.values():
-                more += own[SAMPLE // 2 :: SAMPLE // 2]
+            by_range: dict[int, set[int]] = {}
+            for k in sample(inside, fine / (SAMPLE << (r + 1)), r + 1):
+                by_range.setdefault(bisect.bisect_right(splitters, k), set()).add(k)
+            more = set()
+            for of, own in by_range.items():
+                own, pieces = sorted(own), 2 * math.ceil(held[of] / fine)
+                more.update(own[len(own) * j // pieces] for j in range(1, pieces))
             splitters = sorted({*splitters, *more})
+        else:
+            raise RuntimeError(f"ranges {over[:5]} are still overfull after {ROUNDS} rounds")
 
         # ranges of a large group: by a hash of the id, as many as the group has range sizes
         pieces = {k: max(1, round(b / fine)) for k, b in large}
@@ -111,12 +119,13 @@ def assign_shards(
         groups = spark.createDataFrame(
             [(k, base[k], pieces[k]) for k, _ in large], "large_key long, base long, pieces long"
         )
-        placed = rows.join(F.broadcast(groups), F.col("key") == F.col("large_key"), "left").select(
+        row = F.monotonically_increasing_id().cast(rows.schema["id"].dataType)  # rows without an id are spread by their place
+        placed = rows.withColumn("row", row).join(F.broadcast(groups), F.col("key") == F.col("large_key"), "left").select(
             "id",
             "size",
             "crc",
             "key",
-            F.when(F.col("base").isNotNull(), F.col("base") + F.floor(_unit(F.lit(9), F.col("id")) * F.col("pieces")))
+            F.when(F.col("base").isNotNull(), F.col("base") + F.floor(_unit(F.lit(9), F.coalesce("id", "row")) * F.col("pieces")))
             .otherwise(_range_of(F.col("key"), splitters))
             .cast("long")
             .alias("range"),
@@ -149,12 +158,12 @@ def assign_shards(
 def _pack(
     held: dict[int, tuple[int, int]], large: list[tuple[int, int, int]], shards: int, part: float
 ) -> dict[int, int]:
-    """Range to shard: large groups first, whole where they fit, then runs of the other ranges."""
+    """Range to shard: large groups first, whole unless larger than a part, then runs of the other ranges."""
     load = [0.0] * shards
     to: dict[int, int] = {}
     for base, pieces, size in large:  # largest first, to the emptiest shard
         least = min(range(shards), key=lambda s: (load[s], s))
-        if load[least] + size <= part:
+        if size <= part:
             for r in range(base, base + pieces):
                 to[r] = least
             load[least] += size

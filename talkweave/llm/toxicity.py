@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments of token log-odds, judged by extreme-value statistics.
 
 Tokens get log-odds between toxic and other labelled texts, with an informative Dirichlet prior, and
-only as far as the evidence is sure. A token counts once after each different word, so that copies
+only as far as the evidence is sure; every feature that is sure enough stays. One tokenizer reads the
+texts that a model is fitted on and those it scores. A token counts once after each different word, so that copies
 of one text, which repeat its neighbours too, add nothing. A scan of a text, linear in its tokens, finds every
 maximal-scoring segment. For texts of the other class the best segment of n tokens follows an extreme
 value law with parameters lambda and K; a segment's excess over that law, summed over the significant
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,20 +23,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm._shared import Scratch
+from talkweave.llm._shared import Scratch, spare_name
 
 SAMPLE_ROWS = 10_000  # labelled rows that a model is fitted on, at most (as an expected number)
-FEATURES = 50_000  # features of a model, at most
-LEAST_COUNT = 4  # of a feature
 PRIOR = 10_000.0  # pseudo-counts of the Dirichlet prior, spread as the counts of both classes
 SURE = 2.0  # standard deviations taken off a log-odds
 LEAST_ODDS = 1.0  # of a feature, after that: weaker ones say nothing of a single passage
 DRIFT = 0.1  # loss of every token without positive odds
 STEMS = (5, 4)  # first characters that stand for a word too rare to have odds of its own
 MEMO_WORDS = 300_000  # words whose score a task keeps
+PIECE = 20_000  # rows of a result batch
 
-_WORD = re.compile(r"[^\W_]+")
-_SQL_WORD = r"[\p{L}\p{M}\p{N}]+"
+
+def _marks() -> str:
+    """Ranges of all combining marks, for a character class."""
+    out, last = [], -2
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == "M":
+            if c != last + 1:
+                out.append([c, c])
+            out[-1][1] = last = c
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+_WORD = re.compile(f"[\\w{_marks()}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, combining marks and digits, in lower case."""
+    return _WORD.findall(text.lower().replace("_", " "))
 
 
 @dataclass(frozen=True)
@@ -57,6 +75,9 @@ class Model:
         """By how much a segment's normalised score exceeds what n tokens of clean text reach once."""
         return self.lam * score - math.log(self.k * max(n, 1))
 
+    def evidence(self, n: int, segments: Sequence[tuple[int, int, float]]) -> float:
+        return sum(max(0.0, self.excess(score, n)) for *_, score in segments)
+
     def probability(self, evidence: float) -> float:
         """Evidence enters by its logarithm: the first significant passage decides most."""
         x = self.intercept + self.slope * math.log1p(evidence)
@@ -95,7 +116,7 @@ class Reader:
         self.model, self.memo = model, {}
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         memo, model = self.memo, self.model
         if len(memo) > MEMO_WORDS:
             memo.clear()
@@ -115,8 +136,7 @@ class Reader:
         """The score, and every segment that clean text reaches less than once in a hundred times."""
         n, segments = self.segments(text)
         rated = [(s, e, score, self.model.excess(score, n)) for s, e, score in segments]
-        evidence = sum(max(0.0, x) for *_, x in rated)
-        return self.model.probability(evidence), [
+        return self.model.probability(self.model.evidence(n, segments)), [
             {"first_word": s, "end_word": e, "odds": score, "e_value": math.exp(-x)} for s, e, score, x in rated if x > math.log(100)
         ]
 
@@ -146,8 +166,10 @@ def fit(
 ) -> Model:
     """A model from labelled rows outside the held-out fold, ``sample_rows`` of them at most.
 
-    Texts, ids and labels only are read. A label row without a document, and a null label, are not
-    used; without labels of both kinds the model has no features and gives the labels' mean.
+    Texts, ids and labels only are read. Every word of the sample's whole texts counts; what reaches
+    the driver is bounded by the sample (sure features, and four numbers for each text). Defined
+    results: a label row without a document, and a null label or id, are not used; of several labels
+    of one id the largest counts, of several texts of one id the first in byte order; without labels of both kinds the model has no features and gives the labels' mean.
     """
     with Scratch(docs.sparkSession) as scratch:
         known = scratch.save(
@@ -164,17 +186,22 @@ def fit(
         texts = scratch.save(
             docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .join(F.broadcast(drawn), "id")  # no more rows than the sample's bound
+            .groupBy("id", "toxic")
+            .agg(F.min("text").alias("text"))  # one text for each id, so texts keep that bound
             .select("text", "toxic"),
             "texts",
         )
-        words = F.regexp_extract_all(F.lower("text"), F.lit(_SQL_WORD), F.lit(0))
-        pairs = F.transform(F.col("words"), lambda w, i: F.struct(w.alias("w"), F.get(F.col("words"), i - 1).alias("before")))
-        contexts = (
-            texts.select("toxic", words.alias("words"))
-            .select("toxic", F.explode(F.array_distinct(pairs)).alias("p"))
-            .select("toxic", "p.w", F.xxhash64("p.before").alias("before"))
-            .distinct()
-        )
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
+                    words = words_of(text.as_py())
+                    pairs = list({*zip(words, ["", *words])})
+                    for at in range(0, len(pairs), PIECE):
+                        w, before = zip(*pairs[at : at + PIECE])
+                        yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(w), pa.int32()), pa.array(w), pa.array(before)], names=["toxic", "w", "before"])
+
+        contexts = texts.mapInArrow(read, "toxic int, w string, before string").select("toxic", "w", F.xxhash64("before").alias("before")).distinct()
         counted = scratch.save(
             contexts.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c")),
             "counted",
@@ -190,7 +217,6 @@ def fit(
             .where("f is not null")
             .groupBy("f")
             .agg(F.sum("t").cast("double").alias("t"), F.sum("c").cast("double").alias("c"))
-            .where(F.col("t") + F.col("c") >= LEAST_COUNT)
         )
         prior = PRIOR * (F.col("t") + F.col("c")) / F.lit(max(n_toxic + n_clean, 1.0))
 
@@ -201,24 +227,31 @@ def fit(
         doubt = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
         odds: dict[str, float] = {}
         if n_toxic and n_clean:
-            best = sums.select("f", (delta - SURE * doubt).alias("s")).where(F.col("s") > LEAST_ODDS).orderBy(F.desc("s"), "f").limit(FEATURES)
+            # no more than the sample's words, and few of them are sure
+            best = sums.select("f", (delta - SURE * doubt).alias("s")).where(F.col("s") > LEAST_ODDS)
             odds = {r["f"]: r["s"] for r in best.collect()}
         bare = Model(odds, -DRIFT, 1.0, 1.0, 0.0, 0.0)
 
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = Reader(bare)
-            for b in batches:
-                found = [reader.segments(t) for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([n for n, _ in found], pa.int64()),
-                        pa.array([[s for *_, s in x] for _, x in found], pa.list_(pa.float64())),
-                        b.column(1),
-                    ],
-                    names=["n", "scores", "toxic"],
-                )
+        def measured(model: Model) -> np.ndarray:
+            """(words, best segment, evidence, toxic) of every text of the sample."""
+
+            def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                reader = Reader(model)
+                for b in batches:
+                    found = [reader.segments(t) for t in b.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([float(n) for n, _ in found], pa.float64()),
+                            pa.array([max((s for *_, s in x), default=0.0) for _, x in found], pa.float64()),
+                            pa.array([model.evidence(n, x) for n, x in found], pa.float64()),
+                            b.column(1).cast(pa.float64()),
+                        ],
+                        names=["n", "best", "evidence", "toxic"],
+                    )
+
+            rows = texts.mapInArrow(measure, "n double, best double, evidence double, toxic double")
+            return np.array([tuple(r) for r in rows.collect()], np.float64).reshape(-1, 4)
 
-        measured = texts.select("text", "toxic").mapInArrow(measure, "n long, scores array<double>, toxic int").collect()
         per_word = (
             counted.where("c > 0")
             .select("c", *[F.concat(F.lit("="), "w").alias("f0")])
@@ -227,12 +260,13 @@ def fit(
             .agg(F.sum("c").alias("c"))
             .collect()
         )
-    return _calibrated(bare, measured, {r["s"]: r["c"] for r in per_word}, n_clean)
+        return _calibrated(bare, measured, {r["s"]: r["c"] for r in per_word}, n_clean)
 
 
-def _calibrated(bare: Model, measured: list, hits: dict[float, int], n_clean: float) -> Model:
+def _calibrated(bare: Model, measured: Callable[[Model], np.ndarray], hits: dict[float, int], n_clean: float) -> Model:
     """lambda and K of clean text, and the curve from evidence to score, from the sampled rows."""
-    toxic = np.array([r["toxic"] == 1 for r in measured], bool)
+    n, best, _, label = measured(bare).T
+    toxic = label == 1
     if not toxic.any() or toxic.all():
         mean = float(toxic.mean()) if len(toxic) else 0.0
         mean = min(max(mean, 1e-6), 1 - 1e-6)
@@ -240,22 +274,21 @@ def _calibrated(bare: Model, measured: list, hits: dict[float, int], n_clean: fl
     # lambda: the positive root of sum p(s) exp(lambda s) = 1 over clean tokens, half a token added
     typical = float(np.median(list(bare.odds.values()))) if bare.odds else 1.0
     p = {**hits, typical: hits.get(typical, 0) + 0.5}
-    n = max(n_clean, 1.0)
-    rest = 1.0 - sum(p.values()) / n
+    tokens = max(n_clean, 1.0)
+    rest = 1.0 - sum(p.values()) / tokens
     low, high = 1e-6, 50.0
     for _ in range(200):
         mid = (low + high) / 2
-        total = rest * math.exp(mid * bare.drift) + sum(c / n * math.exp(min(700.0, mid * s)) for s, c in p.items())
+        total = rest * math.exp(mid * bare.drift) + sum(c / tokens * math.exp(min(700.0, mid * s)) for s, c in p.items())
         low, high = (mid, high) if total < 1 else (low, mid)
     lam = low
     # K: so many clean texts reach the lowest positive score as the law says
     floor = min(bare.odds.values(), default=1.0)
-    clean = [r for r, t in zip(measured, toxic) if not t]
-    reached = sum(max(r["scores"], default=0.0) >= floor for r in clean) + 0.5
-    k = reached / max(1.0, sum(r["n"] for r in clean) * math.exp(-lam * floor))
+    reached = (best[~toxic] >= floor).sum() + 0.5
+    k = float(reached / max(1.0, n[~toxic].sum() * math.exp(-lam * floor)))
     half = Model(bare.odds, bare.drift, lam, k, 0.0, 0.0)
-    evidence = np.array([sum(max(0.0, half.excess(s, r["n"])) for s in r["scores"]) for r in measured])
-    slope, intercept = _logistic(np.log1p(evidence), toxic.astype(float))
+    _, _, evidence, label = measured(half).T  # rows may come in another order
+    slope, intercept = _logistic(np.log1p(evidence), (label == 1).astype(float))
     return Model(bare.odds, bare.drift, lam, k, slope, intercept)
 
 
@@ -265,14 +298,8 @@ _PASSAGES = pa.list_(
 _RESULT = "score double, passages array<struct<first_word: bigint, end_word: bigint, odds: double, e_value: double>>"
 
 
-def score_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the columns ``keep``, score (0 to 1) and the toxic passages.
-
-    ``passages`` lists the significant segments (first_word, end_word, odds, e_value) of the whole
-    text. The score reads the text alone. Defined results: null and empty texts have no passages and
-    the score of no evidence; nulls in kept columns and repeated rows stay; other columns, whatever
-    their names, are neither read nor returned; an empty table gives no rows.
-    """
+def _judged(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str) -> DataFrame:
+    """(kept, score, passages), ``kept`` a struct of the columns ``keep``."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
     kept = rows.schema["kept"].dataType.simpleString()
 
@@ -287,10 +314,32 @@ def score_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id
                     names=["kept", "score", "passages"],
                 )
 
-    return rows.mapInArrow(judge, f"kept {kept}, {_RESULT}").select("kept.*", "score", "passages")
+    return rows.mapInArrow(judge, f"kept {kept}, {_RESULT}")
+
+
+def score_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the columns ``keep``, score (0 to 1) and the toxic passages.
+
+    ``passages`` lists the significant segments (first_word, end_word, odds, e_value) of the whole
+    text. The score reads the text alone. Defined results: null and empty texts have no passages and
+    the score of no evidence; a very long text is scanned whole, in time linear in its words; equal
+    texts, so all repeated rows, have equal scores, and of segments of equal score the first stands
+    first; nulls in kept columns and repeated rows stay; where a kept column is named score or
+    passages, the new column's name gets an underscore in front; other columns, whatever their
+    names, are neither read nor returned; an empty table gives no rows.
+    """
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    new = [F.col(c).alias(spare_name(kept, c)) for c in ("score", "passages")]
+    return _judged(docs, model, keep, text_col).select("kept.*", *new)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    Defined results: those of ``fit`` and ``score_toxicity``; a null or empty text has no evidence
+    and stays unless most labelled texts are toxic; rows that stay keep nulls and all columns, whatever
+    their names; rows with equal texts stay or go together; without labels all rows stay; an empty
+    table gives no rows.
+    """
     model = fit(docs, labels, id_col, text_col)
-    return score_toxicity(docs, model, docs.columns, text_col).where(F.col("score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, model, docs.columns, text_col).where(F.col("score") < threshold).select("kept.*")
