@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import sentencepiece_codec
-from talkweave.llm._shared import shared_dir
+from talkweave.llm._shared import delete, shared_dir
 from talkweave.llm.exact_dedup import drop_exact_copies
 from talkweave.llm.minhash_dedup import drop_near_copies
 from talkweave.llm.mixing import mixed_documents
@@ -27,22 +27,32 @@ TOKENIZER = "piece_bpe_32k.model"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't score as toxic. Null and empty texts have no evidence and stay; rows of equal
+    texts stay or go together; a very long text is scored whole; an empty table stays empty."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each group of equal texts, null and empty texts being one group. Rows
+    that repeat that id and text all stay, as do rows without an id that equal no row with one."""
     return drop_exact_copies(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each component of near copies. Rows without words or without an id
+    are near nothing and stay."""
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, in the order of its shards. A source without words is left out;
+    a null source is a source; rows that repeat an id share a verdict."""
     return mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every row: the library's ids of the whole text (null: empty) and digests of them and of
+    what they decode to."""
     path = public_tokenizers.path(TOKENIZER)
     ids = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), path).drop("text")
     return sentencepiece_codec.decode(ids, path).select(
@@ -68,11 +78,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to ``documents``; each result is written to the shared folder and read again."""
+    """Applies STAGES to ``documents``; each result is written to the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last one stays, as the result reads it.
+    """
     base = f"{shared_dir(spark)}/talkweave/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
