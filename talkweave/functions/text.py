@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 # Leads that a headline drops, in this order.
 HEADLINE_LEADS = ["so", "and", "but", "um", "uh", "well", "yeah", "okay", "ok"]
 # Fonts that a caption may name.
-CAPTION_FONTS = ["Anton", "Bebas Neue", "Inter", "Montserrat", "Oswald", "Poppins"]
+CAPTION_FONTS = ["Inter", "Arial", "Helvetica Neue", "Avenir Next", "Verdana", "Georgia"]
+# The stages of a job, in order; each is also the name of the state it puts the job in.
+STAGES = [
+    "inspecting", "extracting_audio", "transcribing", "selecting_candidates", "validating_candidates", "analyzing_layout", "rendering",
+]
+
+
+def once(value: Column) -> Column:
+    """The value as a generator of one row. What is computed from it can't be merged with it, nor a filter
+    pushed below it, so it is computed once a row however often lambdas above refer to it."""
+    return F.explode(F.array(value))
 
 
 def normalize(text: Column) -> Column:
@@ -50,12 +60,15 @@ def slug(text: Column, most: int) -> Column:
 
 
 def headline(text: Column) -> Column:
-    """Leads dropped, ends trimmed of points and commas, at most 90 characters, first letter large."""
-    t = F.trim(text)
+    """Leads before a space dropped, ends trimmed of points and commas, at most 90 characters (cut at the
+    last space in them, or after 87 without one), first letter large."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
     for lead in HEADLINE_LEADS:
-        t = F.regexp_replace(t, rf"(?i)^{lead}[ ,]\s*", "")
+        t = F.regexp_replace(t, rf"(?i)^{lead} \s*", "")
     t = F.regexp_replace(t, r"[.,]+$", "")
-    t = F.when(F.char_length(t) > 90, F.concat(F.regexp_extract(F.substring(t, 1, 90), r"(?s)^(.*?)( [^ ]*)?$", 1), F.lit("…"))).otherwise(t)
+    head = F.substring(t, 1, 90)
+    cut = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(F.substring(head, 1, 87))
+    t = F.when(F.char_length(t) > 90, F.concat(F.regexp_replace(cut, r"\s+$", ""), F.lit("…"))).otherwise(t)
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 20))
 
 
@@ -114,19 +127,49 @@ def ends_sentence(word: Column, comma: bool = False) -> Column:
     return word.rlike("[.?!…" + ("," if comma else "") + r"][\"')\]]*$")
 
 
-def display_state(state: Column) -> Column:
-    """A stage's name as a job state; unknown names are the first state."""
-    # Stage names and the states they put a job in.
-    names = {
-        "inspect": "inspecting",
-        "extract_audio": "extracting_audio",
-        "transcribe": "transcribing",
-        "select": "selecting_candidates",
-        "validate": "validating_candidates",
-        "layout": "analyzing_layout",
-        "render": "rendering",
-    }
-    out = F.lit("created")
-    for k, v in names.items():
-        out = F.when(state == k, F.lit(v)).otherwise(out)
-    return out
+def display_state(stage: Column) -> Column:
+    """The state that a stage puts its job in; unknown names and null are the first state."""
+    return F.when(stage.isin(STAGES), stage).otherwise(F.lit("created"))
+
+
+def clip_filename(rank: Column, head: Column) -> Column:
+    """Rank in two digits and the headline's slug."""
+    return F.concat(F.format_string("%02d-", rank), slug(head, 48), F.lit(".mp4"))
+
+
+def output_folder(source_name: Column) -> Column:
+    """The slug of a source's name without its endings."""
+    return slug(F.regexp_replace(source_name, r"(\.mp4)+$", ""), 60)
+
+
+def caption_style(name: Column, strict: bool = False) -> Column:
+    """``clean`` (also called minimal) or ``impact``, which stands for all else; ``strict``: null for all else."""
+    given = F.lower(F.trim(name))
+    if strict:
+        return F.when(given.isin("impact", "clean"), given)
+    return F.when(given.isin("clean", "minimal"), F.lit("clean")).otherwise(F.lit("impact"))
+
+
+def byte_range(spec: Column, size: Column) -> Column:
+    """A request for bytes of a resource: struct (status, first, last); status ``whole`` without a
+    request, ``part``, or ``invalid``: other units, several ranges, or none of the bytes."""
+    first = F.regexp_extract(spec, r"^bytes=(\+?\d*)-(\+?\d*)$", 1)
+    last = F.regexp_extract(spec, r"^bytes=(\+?\d*)-(\+?\d*)$", 2)
+    n, a, b = size.cast("decimal(38,0)"), first.try_cast("decimal(38,0)"), last.try_cast("decimal(38,0)")
+    tail = F.greatest(n - b, F.lit(0))  # the last b bytes
+    start = F.when(first == "", tail).otherwise(a)
+    end = F.when((first == "") | (last == ""), n - 1).otherwise(F.least(b, n - 1))
+    shaped = spec.rlike(r"^bytes=(\+?\d*)-(\+?\d*)$") & (n > 0) & F.when(first == "", b > 0).otherwise((a < n) & (end >= a))
+    status = F.when(spec.isNull(), "whole").when(F.coalesce(shaped, F.lit(False)), "part").otherwise("invalid")
+    return F.struct(status.alias("status"), F.when(status == "part", start).cast("long").alias("first"), F.when(status == "part", end).cast("long").alias("last"))
+
+
+def plan_counts(duration_ms: Column) -> Column:
+    """struct (target, proposals): a clip for every ten minutes, one at least, and half as many again, three at least."""
+    target = F.greatest(F.round(duration_ms / 60_000.0 / 10.0).cast("long"), F.lit(1).cast("long"))
+    return F.struct(target.alias("target"), F.greatest(F.ceil(target * 1.5), F.lit(3)).cast("long").alias("proposals"))
+
+
+def rejection_text(reason: Column, reasons: Column, rule: Column, message: Column, detail: Column) -> Column:
+    """What a rejection says, whichever of its fields say it; nulls are passed over."""
+    return F.array_join(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (F.array(reason), reasons, F.array(rule, message, detail))]), " ")

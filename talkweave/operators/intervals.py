@@ -61,19 +61,39 @@ def greedy_mark(
     return marked.select("item.row.*", F.nullif(F.array_position("kept", F.col("item.ord")), F.lit(0)).cast("int").alias("place"))
 
 
-def snap_to_words(intervals: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """Two-sided as-of: from the first word that ends after the start to the last that starts before
-    the end, by conditional aggregation over one equi-join; null where no words lie between."""
-    w = words.select(F.col(key).alias("wk"), F.col("ord").alias("word"), F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"), "p")
-    first = F.min(F.when(F.col("we") > F.col("start_ms"), F.struct("word", "ws")))
-    last = F.max(F.when(F.col("ws") < F.col("end_ms"), F.struct("word", "we")))
-    inside = F.when((F.col("ws") >= F.col("start_ms")) & (F.col("we") <= F.col("end_ms")), F.col("p"))
-    ok = F.col("first.ws") < F.col("last.we")
-    return (
-        intervals.join(w, F.col(key) == F.col("wk"))
-        .groupBy(key, "ord", "start_ms", "end_ms")
-        .agg(first.alias("first"), last.alias("last"), F.coalesce(F.avg(inside), F.lit(1.0)).alias("confidence"))
-        .select(
-            key, "ord", "start_ms", "end_ms", F.when(ok, F.col("first.ws")).alias("snapped_start"), F.when(ok, F.col("last.we")).alias("snapped_end"), "confidence"
-        )
-    )
+def words_inside(words: Column, start: Column, end: Column) -> Column:
+    return F.filter(words, lambda w: (w["start_ms"] >= start) & (w["end_ms"] <= end))
+
+
+def snapped(words: Column, start: Column, end: Column) -> Column:
+    """struct (start_ms, end_ms): from the first word that ends after ``start`` to the last that starts
+    before ``end``; null where no words lie between."""
+    first = F.try_element_at(F.filter(words, lambda w: w["end_ms"] > start), F.lit(1))["start_ms"]
+    last = F.try_element_at(F.filter(words, lambda w: w["start_ms"] < end), F.lit(-1))["end_ms"]
+    return F.when(first < last, F.struct(first.alias("start_ms"), last.alias("end_ms")))
+
+
+def interval_confidence(words: Column, start: Column, end: Column) -> Column:
+    """Mean probability of the words inside; 1 without any."""
+    inside = words_inside(words, start, end)
+    total = F.aggregate(inside, F.lit(0.0), lambda a, w: a + w["p"].cast("double"))
+    return F.coalesce(F.try_divide(total, F.size(inside)), F.lit(1.0))
+
+
+def snap_to_words(intervals: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Two-sided as-of of ``intervals`` (doc_id, ord, start_ms, end_ms): (..., snapped_start, snapped_end,
+    confidence). A document's intervals meet its words in one row, and each searches the array; documents
+    without words give nulls and a confidence of 1."""
+    own = intervals.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "start_ms", "end_ms")).alias("intervals"))
+
+    def at(x: Column) -> Column:
+        s = snapped(F.col("words"), x["start_ms"], x["end_ms"])
+        return F.struct(
+            x["ord"].alias("ord"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), s["start_ms"].alias("snapped_start"),
+            s["end_ms"].alias("snapped_end"), interval_confidence(F.col("words"), x["start_ms"], x["end_ms"]).alias("confidence"),
+        )
+
+    rows = own.join(transcripts.select("doc_id", "words"), "doc_id", "left")
+    kind = transcripts.schema["words"].dataType.simpleString()
+    rows = rows.withColumn("words", F.coalesce("words", F.expr(f"cast(array() as {kind})")))
+    return rows.select("doc_id", F.inline(F.transform("intervals", at)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.functions.text import normalize, word_list
-from talkweave.operators.segments import LEAST_MS, end_candidates
+from talkweave.functions.text import normalize, once, word_list
+from talkweave.operators.segments import LEAST_MS, ends_within
 
 # How a hook begins.
 HOOK_STARTS = [
@@ -54,10 +56,6 @@ def any_of(test: str, column: str, cues: list[str]) -> str:
     return "(" + " OR ".join(f"{test}({column}, {quoted(c)})" for c in cues) + ")"
 
 
-def _spark(test: str) -> str:
-    return {"starts_with": "startswith"}.get(test, test)
-
-
 VAGUE = "(o_words <= 9 AND (contains(o, 'that') OR contains(o, 'this') OR contains(o, 'those') OR contains(o, ' it ') OR startswith(o, 'it ')))"
 
 #: Rubric scores and composites over signal columns; the same SQL holds in both engines. Floats add
@@ -88,76 +86,97 @@ PROPOSAL_SQL = (
     + "".join(f" {sign} CASE WHEN {c} THEN CAST({k} AS FLOAT) ELSE CAST(0 AS FLOAT) END" for sign, c, k in (("+", "repeated_claim", "4.0"), ("+", "exchange", "3.0"), ("+", "absolute_claim", "1.5"), ("-", "vague_open", "4.0")))
     + " + CAST(boost AS FLOAT)"
 )
-#: Reasons to reject a scored candidate, in order; duration in ms.
+#: Reasons to reject a scored candidate, in order: SQL for the text and for when it holds; durations in ms.
 REASONS_SQL = [
-    ("self_contained below 4", "self_contained < 4"),
-    ("payoff below 3", "payoff < 3"),
-    ("clarity below 4", "clarity < 4"),
-    ("context_dependency above 2", "context_dependency > 2"),
-    ("slop_risk above 2", "slop_risk > 2"),
+    ("'self_contained ' || self_contained || ' is below 4'", "self_contained < 4"),
+    ("'payoff ' || payoff || ' is below 3'", "payoff < 3"),
+    ("'clarity ' || clarity || ' is below 4'", "clarity < 4"),
+    ("'context_dependency ' || context_dependency || ' is above 2'", "context_dependency > 2"),
+    ("'slop_risk ' || slop_risk || ' is above 2'", "slop_risk > 2"),
     (
-        "duration",
+        "'duration ' || cast(floor((end_ms - start_ms) / 1000) AS BIGINT) || 's falls outside 20–90 seconds'",
         "NOT (end_ms - start_ms BETWEEN 20000 AND 90000 OR (end_ms - start_ms BETWEEN 15000 AND 110000 AND payoff >= 4 AND self_contained >= 5 AND clarity >= 4))",
     ),
 ]
-END_SCORE_SQL = (
-    "CAST(0 AS FLOAT) + CASE WHEN terminal THEN CAST(1.0 AS FLOAT) ELSE CAST(0 AS FLOAT) END"
-    " + CASE WHEN payoff_here THEN CAST(1.4 AS FLOAT) ELSE CAST(0 AS FLOAT) END"
-    " + CASE WHEN next_start IS NULL THEN CAST(0.5 AS FLOAT) WHEN next_start - end_ms >= 700 THEN CAST(0.8 AS FLOAT) ELSE CAST(0 AS FLOAT) END"
-    " + (CAST(1.0 AS FLOAT) - least(CAST(abs(CAST(CAST(end_ms - s_start AS FLOAT) / CAST(1000 AS FLOAT) AS FLOAT) - CAST(45 AS FLOAT)) / CAST(45 AS FLOAT) AS FLOAT), CAST(1 AS FLOAT)) * CAST(0.6 AS FLOAT))"
-)
-
-
+OVERLAP_REASON = "overlaps more than 30% with a higher-ranked clip"
 # Words of absolute claims.
 ABSOLUTE_WORDS = ["everyone", "everybody", "nobody", "never", "always"]
 
 
-def _absolute() -> Column:
+def _absolute(low: Column) -> Column:
     """Some token is an absolute word, marks around it apart."""
-    return F.exists(
-        word_list(F.col("low")), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$", "").isin(*ABSOLUTE_WORDS)
-    )
+    return F.exists(word_list(low), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$", "").isin(*ABSOLUTE_WORDS))
 
 
-def with_neighbours(parts: DataFrame) -> DataFrame:
-    """Sentences with what their end is worth and what stands before and after."""
-    order = Window.partitionBy("doc_id").orderBy("sent_ord")
-    low = F.lower("text")
-    return (
-        parts.withColumn("next_start", F.lead("start_ms").over(order))
-        .withColumn("terminal", F.rtrim("text").rlike("[.?!…]$"))
-        .withColumn("low", low)
-        .withColumn("payoff_here", F.expr(any_of("contains", "low", PAYOFF_CUES)))
-        .withColumn("claim", normalize(F.col("text")))
-        .withColumn("claim_words", F.size(word_list(F.col("claim"))))
-        .withColumn("n_words", F.size(word_list(F.col("text"))))
-        .withColumn("absolute", _absolute())
-        .withColumn("payoff_before", F.coalesce(F.lag("payoff_here").over(order), F.lit(False)))
-    )
+def absolute_claim(low: Column, claim: Column) -> Column:
+    return _absolute(low) | F.concat(F.lit(" "), claim, F.lit(" ")).rlike(" no one | all of us ")
+
 
+def vague_opener(low: Column) -> Column:
+    """At most nine words, and one that points at something unsaid."""
+    points = F.contains(low, F.lit("that")) | F.contains(low, F.lit("this")) | F.contains(low, F.lit("those"))
+    return (F.size(word_list(low)) <= 9) & (points | F.contains(low, F.lit(" it ")) | low.startswith("it "))
 
-def best_windows(parts: DataFrame) -> DataFrame:
-    """(doc_id, s, e, start_ms, end_ms, end_score, payoff_cue, window): the best end of each start
-    that has one 20 to 90 s later; the first of equal ends. ``window`` holds its sentences."""
-    item = F.struct(
-        F.col("sent_ord").alias("ord"), "text", "start_ms", "end_ms", F.expr(END_SCORE_SQL).alias("end_score"),
-        (F.col("payoff_here") | F.col("payoff_before")).alias("payoff"), "low", "claim", "claim_words", "n_words", "absolute",
+
+def _contains_any(text: Column, cues: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in cues])
+
+
+def _f32(x) -> Column:
+    return (F.lit(x) if not isinstance(x, Column) else x).cast("float")
+
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, duration_ms, parts) with each sentence's text features in ``parts``."""
+    lowered = rows.withColumn("parts", F.transform("parts", lambda x: x.withField("low", F.lower(x["text"])).withField("claim", normalize(x["text"]))))
+    return lowered.select(
+        *[c for c in rows.columns if c != "parts"],
+        once(F.transform(
+            "parts",
+            lambda x: F.struct(
+                x["sent_ord"].alias("ord"), x["text"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"),
+                x["low"].alias("low"), x["claim"].alias("claim"),
+                F.size(word_list(x["claim"])).alias("claim_words"), F.size(word_list(x["text"])).alias("n_words"), _absolute(x["low"]).alias("absolute"),
+                F.rtrim(x["text"]).rlike("[.?!…]$").alias("terminal"), _contains_any(x["low"], PAYOFF_CUES).alias("payoff_here"),
+            ),
+        )).alias("parts"),
     )
-    grouped = (
-        end_candidates(with_neighbours(parts))
-        .groupBy("doc_id", "s", "s_start")
-        .agg(
-            F.max(F.when(F.expr(f"end_ms - s_start >= {LEAST_MS}"), F.struct(F.expr(END_SCORE_SQL).alias("score"), (-F.col("sent_ord")).alias("back")))).alias("best"),
-            F.array_sort(F.collect_list(item)).alias("all"),
-        )
-        .where("best is not null")
-    )
-    window = F.filter("all", lambda x: x["ord"] <= -F.col("best.back"))
-    closer = F.get("window", F.size("window") - 1)
-    return grouped.withColumn("window", window).select(
-        "doc_id", "s", (-F.col("best.back")).alias("e"), F.col("s_start").alias("start_ms"), closer["end_ms"].alias("end_ms"),
-        F.col("best.score").alias("end_score"), closer["payoff"].alias("payoff_cue"), "window",
+
+
+def best_windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, duration_ms, s, e, start_ms, end_ms, end_score, payoff_cue, window): the best end of each
+    start that has one 20 to 90 s later; the first of equal ends. ``window`` holds its sentences.
+
+    Everything up to the best end is work on numbers within the document's row; a window's texts are
+    sliced from it once its end is known, and nothing is shuffled or joined.
+    """
+
+    def light(x: Column, i: Column) -> Column:
+        nxt = F.get("parts", i + 1)["start_ms"]
+        base = _f32(0.0) + F.when(x["terminal"], _f32(1.0)).otherwise(_f32(0.0)) + F.when(x["payoff_here"], _f32(1.4)).otherwise(_f32(0.0))
+        pause = F.when(nxt.isNull(), _f32(0.5)).when(nxt - x["end_ms"] >= 700, _f32(0.8)).otherwise(_f32(0.0))
+        cue = x["payoff_here"] | F.coalesce(F.get("parts", i - 1)["payoff_here"], F.lit(False))
+        return F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), (base + pause).alias("base"), cue.alias("cue"), (-i).alias("back"))
+
+    def scored_end(x: Column, c: Column) -> Column:
+        seconds = _f32(_f32(c["end_ms"] - x["start_ms"]) / _f32(1000))
+        off = F.least(_f32(F.abs(seconds - _f32(45)) / _f32(45)), _f32(1))
+        return F.struct((c["base"] + (_f32(1.0) - off * _f32(0.6))).alias("score"), c["back"].alias("back"), c["end_ms"].alias("end_ms"), c["cue"].alias("cue"))
+
+    def best(x: Column, i: Column) -> Column:
+        ends = F.filter(ends_within(F.col("ends"), i, x["start_ms"]), lambda c: c["end_ms"] - x["start_ms"] >= LEAST_MS)
+        return F.struct(i.alias("s"), x["start_ms"].alias("start_ms"), F.array_max(F.transform(ends, lambda c: scored_end(x, c))).alias("best"))
+
+    held = rows.withColumn("ends", F.transform("parts", light)).withColumn("best", F.transform("ends", best)).drop("ends")
+    windows = F.transform(
+        F.filter("best", lambda b: b["best"].isNotNull()),
+        lambda b: F.struct(
+            b["s"].alias("s"), (-b["best"]["back"]).alias("e"), b["start_ms"].alias("start_ms"), b["best"]["end_ms"].alias("end_ms"),
+            b["best"]["score"].alias("end_score"), b["best"]["cue"].alias("payoff_cue"),
+            F.slice("parts", b["s"] + 1, -b["best"]["back"] - b["s"] + 1).alias("window"),
+        ),
     )
+    return held.select("doc_id", "duration_ms", F.inline(windows))
 
 
 def signals(windows: DataFrame) -> DataFrame:
@@ -228,4 +247,4 @@ def scored(windows: DataFrame) -> DataFrame:
 
 def rejections(column_prefix: str = "") -> str:
     """SQL for the array of reasons that hold."""
-    return "filter(array(" + ", ".join(f"CASE WHEN {c} THEN {quoted(r)} END" for r, c in REASONS_SQL) + "), x -> x IS NOT NULL)"
+    return "filter(array(" + ", ".join(f"CASE WHEN {c} THEN {r} END" for r, c in REASONS_SQL) + "), x -> x IS NOT NULL)"

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkweave.functions.text import headline, quote_head, quote_tail
 from talkweave.operators.intervals import greedy_mark
-from talkweave.operators.segments import sentences
-from talkweave.operators.signals import VALIDATION_SQL, best_windows, rejections, scored
+from talkweave.operators.segments import sentence_rows
+from talkweave.operators.signals import (
+    OVERLAP_REASON, SCORES_SQL, VALIDATION_SQL, absolute_claim, best_windows, rejections, scored, vague_opener, with_features,
+)
 from talkweave.sources.transcripts import documents_as_transcripts
 
+#: Signals that a reason for selection names.
+TOLD = ["hook", "question_open", "contrast", "payoff_cue", "has_number", "repeated_claim", "exchange"]
 
-def durations(transcripts: DataFrame) -> DataFrame:
-    """(doc_id, duration_ms): last word's end and half a second; projects without words have none."""
-    return transcripts.where(F.size("words") > 0).select("doc_id", (F.get("words", F.size("words") - 1)["end_ms"] + 500).alias("duration_ms"))
+
+def sentence_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, duration_ms, parts): one row per document, sentences with their features."""
+    return with_features(sentence_rows(documents_as_transcripts(docs)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """All scored windows of all documents, with their project's duration."""
-    t = documents_as_transcripts(docs)
-    s = scored(best_windows(sentences(t))).drop("window", "t", "norm")
-    return s.withColumn("ord", F.col("s")).join(durations(t), "doc_id")
+    """All scored windows of all documents: numbers and flags only, as rows are grouped from here on."""
+    s = scored(best_windows(sentence_features(docs)))
+    return s.select("doc_id", "duration_ms", F.col("s").alias("ord"), "s", "e", "start_ms", "end_ms", "end_score", "composite", *SCORES_SQL, *TOLD)
 
 
 def proposals(docs: DataFrame) -> DataFrame:
@@ -32,9 +37,74 @@ def proposals(docs: DataFrame) -> DataFrame:
 
 
 def validated(docs: DataFrame) -> DataFrame:
-    """Proposals with their reasons for rejection; accepted ones have rank 1, 2, ..."""
+    """Proposals with their reasons for rejection; accepted ones have rank 1, 2, ... ``told`` orders a
+    report's rejections: those by rules first, in the order proposed, then overlaps, best first.
+
+    Proposals begin and end with words of their own text and quote it, so snapping and quotes, which
+    ``operators.validation`` judges for candidates from outside, can't fail here.
+    """
     p = proposals(docs).withColumn("reasons", F.expr(rejections())).withColumn("quality", F.expr(VALIDATION_SQL))
     p = p.withColumn("ord", F.col("proposal"))
     marked = greedy_mark(p, "doc_id", -F.col("quality"), 0.30, containing=True, eligible=F.size("reasons") == 0)
-    fallen = F.when((F.size("reasons") == 0) & F.col("place").isNull(), F.array(F.lit("overlap"))).otherwise(F.col("reasons"))
-    return marked.withColumn("reasons", fallen).withColumnRenamed("place", "rank")
+    return with_overlaps(marked)
+
+
+def with_overlaps(marked: DataFrame) -> DataFrame:
+    """Rows of a validator's fold with ``rank``, the reason of those it suppressed, and ``told``."""
+    passed = F.size("reasons") == 0
+    fallen = passed & F.col("place").isNull()
+    told = F.when(F.col("place").isNull(), F.struct(passed.alias("late"), F.when(fallen, -F.col("quality")).alias("best"), F.col("ord").alias("ord")))
+    rows = marked.withColumn("told", told).withColumn("reasons", F.when(fallen, F.array(F.lit(OVERLAP_REASON))).otherwise(F.col("reasons")))
+    return rows.withColumnRenamed("place", "rank")
+
+
+def _reason() -> Column:
+    """Why a window was chosen, from its flags, in a fixed order."""
+    # The clauses and the sentence around them.
+    opens = (
+        F.when(F.col("x.question_open"), "opens on a direct question")
+        .when(F.col("x.hook"), "opens by naming its subject immediately")
+        .otherwise("opens on a complete thought")
+    )
+    clauses = F.array(
+        opens,
+        F.when(F.col("x.contrast"), "sets up a tension or misconception"),
+        F.when(F.col("x.has_number"), "grounds the point in specifics"),
+        F.when(F.col("x.exchange"), "contains a quick question-and-answer turn"),
+        F.when(F.col("x.repeated_claim"), "repeats its central claim for emphasis"),
+        F.when(F.col("x.payoff_cue"), "lands on a stated takeaway before it ends").otherwise("resolves at a natural sentence boundary"),
+    )
+    return F.concat(F.lit("The excerpt "), F.array_join(clauses, ", "), F.lit(". Selected by local ranking across the full transcript."))
+
+
+def presented(docs: DataFrame) -> DataFrame:
+    """Proposals as a viewer sees them: (doc_id, proposal, headline, opening_quote, closing_quote, selection_reason).
+
+    The headline is the best of a window's first five sentences: one whose claim (three words or more)
+    another sentence of the window holds, an absolute claim, a question, a short one, no vague opener;
+    the last of equals. Proposals, numbers only, join their document's row once; texts are cut from it there.
+    """
+    own = proposals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("proposal", "s", "e", *TOLD)).alias("proposals"))
+    rows = sentence_features(docs).join(own, "doc_id")
+    rows = rows.select("doc_id", F.inline(F.transform("proposals", lambda x: F.struct(x.alias("x"), F.slice("parts", x["s"] + 1, x["e"] - x["s"] + 1).alias("window")))))
+
+    def appeal(a, i):
+        elsewhere = F.exists(F.transform("window", lambda b, j: (j != i) & F.contains(b["claim"], a["claim"])), lambda hit: hit)
+        points = (
+            F.when((a["claim_words"] >= 3) & elsewhere, 5).otherwise(0)
+            + F.when(absolute_claim(a["low"], a["claim"]), 3).otherwise(0)
+            + F.when(F.contains(a["text"], F.lit("?")), 2).otherwise(0)
+            + F.when(a["n_words"].between(3, 16), 1).otherwise(0)
+            - F.when(vague_opener(a["low"]), 3).otherwise(0)
+        )
+        return F.struct(points.alias("points"), i.alias("i"), a["text"].alias("text"))
+
+    best = F.array_max(F.transform(F.slice("window", 1, 5), appeal))
+    return rows.withColumn("best", best["text"]).select(
+        "doc_id",
+        "x.proposal",
+        headline(F.col("best")).alias("headline"),
+        quote_head(F.get("window", F.lit(0))["text"]).alias("opening_quote"),
+        quote_tail(F.get("window", F.size("window") - 1)["text"]).alias("closing_quote"),
+        _reason().alias("selection_reason"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import text as X
 from talkweave.operators import artifacts, captions, evals, framing, segments, series, signals
-from talkweave.operators.intervals import greedy_mark, snap_to_words
+from talkweave.operators.intervals import snap_to_words
 from talkweave.plans import clips
 from talkweave.sources import reports
 from talkweave.sources.transcripts import documents_as_transcripts, exploded_words, table
@@ -102,8 +102,15 @@ SELECT doc_id, win, count(*) AS sentences, min(sent_ord) AS first_sent, max(sent
 FROM win JOIN s USING (doc_id) WHERE NOT (s.end_ms < win * 600000 OR s.start_ms > least(win * 600000 + 720000, dur)) GROUP BY 1, 2"""
 )
 def hopping_windows(spark, sf_dir):
-    t = _transcripts(spark, sf_dir)
-    return segments.hopping_windows(segments.sentences(t), clips.durations(t))
+    return segments.hopping_windows(segments.sentence_rows(_transcripts(spark, sf_dir)))
+
+
+_END_SCORE = (
+    "CAST(0 AS FLOAT) + CASE WHEN terminal THEN CAST(1.0 AS FLOAT) ELSE CAST(0 AS FLOAT) END"
+    " + CASE WHEN payoff_here THEN CAST(1.4 AS FLOAT) ELSE CAST(0 AS FLOAT) END"
+    " + CASE WHEN next_start IS NULL THEN CAST(0.5 AS FLOAT) WHEN next_start - end_ms >= 700 THEN CAST(0.8 AS FLOAT) ELSE CAST(0 AS FLOAT) END"
+    " + (CAST(1.0 AS FLOAT) - least(CAST(abs(CAST(CAST(end_ms - s_start AS FLOAT) / CAST(1000 AS FLOAT) AS FLOAT) - CAST(45 AS FLOAT)) / CAST(45 AS FLOAT) AS FLOAT), CAST(1 AS FLOAT)) * CAST(0.6 AS FLOAT))"
+)
 
 
 def _duck(sql: str) -> str:
@@ -121,15 +128,19 @@ nb AS MATERIALIZED (SELECT *, coalesce(lag(payoff_here) OVER (PARTITION BY doc_i
   len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words FROM n),
 pe AS (SELECT a.doc_id, a.sent_ord AS s, b.sent_ord AS e, a.start_ms AS s_start, b.end_ms, b.next_start, b.terminal, b.payoff_here, b.payoff_here OR b.payoff_before AS payoff_cue
   FROM nb a JOIN nb b ON a.doc_id = b.doc_id AND b.sent_ord >= a.sent_ord AND b.end_ms - a.start_ms BETWEEN 20000 AND 90000),
-ps AS (SELECT *, CAST({signals.END_SCORE_SQL} AS FLOAT) AS end_score FROM pe),
+ps AS (SELECT *, CAST({_END_SCORE} AS FLOAT) AS end_score FROM pe),
 bw AS MATERIALIZED (SELECT doc_id, s, e, s_start AS start_ms, end_ms, end_score, payoff_cue FROM ps QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY end_score DESC, e) = 1)
 """
 )
 
 
+def _features(spark, sf_dir):
+    return signals.with_features(segments.sentence_rows(_transcripts(spark, sf_dir)))
+
+
 @query(f"WITH {_B} SELECT doc_id, s, e, start_ms, end_ms, CAST(end_score AS DOUBLE) AS end_score, payoff_cue FROM bw")
 def best_window_end(spark, sf_dir):
-    w = signals.best_windows(segments.sentences(_transcripts(spark, sf_dir)))
+    w = signals.best_windows(_features(spark, sf_dir))
     return w.select("doc_id", "s", "e", "start_ms", "end_ms", F.col("end_score").cast("double").alias("end_score"), "payoff_cue")
 
 
@@ -168,7 +179,7 @@ _SIGNALS = ["hook", "contrast", "payoff_cue", "reference", "pronoun_open", "vagu
 
 @query(f"WITH {_F} SELECT doc_id, s, e, {', '.join(_SIGNALS)}, CAST(fillers AS INT) AS fillers, CAST(words AS INT) AS words FROM f")
 def window_signals(spark, sf_dir):
-    w = signals.signals(signals.best_windows(segments.sentences(_transcripts(spark, sf_dir))))
+    w = signals.signals(signals.best_windows(_features(spark, sf_dir)))
     return w.select("doc_id", "s", "e", *_SIGNALS, F.col("fillers").cast("int").alias("fillers"), F.col("words").cast("int").alias("words"))
 
 
@@ -209,7 +220,7 @@ def proposals_greedy(spark, sf_dir):
     return clips.proposals(_docs(spark, sf_dir)).select("doc_id", "proposal", "s", "e", "start_ms", "end_ms", F.col("composite").cast("double").alias("composite"))
 
 
-_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {signals.quoted(r)} END" for r, c in signals.REASONS_SQL) + "], lambda x: x IS NOT NULL)"
+_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {r} END" for r, c in signals.REASONS_SQL) + "], lambda x: x IS NOT NULL)"
 _V = (
     _P
     + f""",
@@ -226,7 +237,7 @@ v1 AS MATERIALIZED (SELECT doc_id, proposal AS ord, start_ms, end_ms, row_number
 
 @query(
     f"""WITH {_V} SELECT v.doc_id, proposal, s, e, start_ms, end_ms, CAST(quality AS DOUBLE) AS quality, CAST(place AS INT) AS rank,
-array_to_string(CASE WHEN len(reasons) = 0 AND place IS NULL THEN ['overlap'] ELSE reasons END, '; ') AS reasons FROM v LEFT JOIN gv ON v.doc_id = gv.doc_id AND v.proposal = gv.ord"""
+array_to_string(CASE WHEN len(reasons) = 0 AND place IS NULL THEN ['overlaps more than 30% with a higher-ranked clip'] ELSE reasons END, '; ') AS reasons FROM v LEFT JOIN gv ON v.doc_id = gv.doc_id AND v.proposal = gv.ord"""
 )
 def clips_validated(spark, sf_dir):
     v = clips.validated(_docs(spark, sf_dir))
@@ -246,11 +257,12 @@ _IV = "iv AS (SELECT doc_id, ord, start_ms, end_ms FROM documents, (VALUES (CAST
 @query(
     f"""WITH {_W}, {_IV}, j AS (SELECT iv.doc_id, iv.ord, iv.start_ms, iv.end_ms, min(w.start_ms) FILTER (w.end_ms > iv.start_ms) AS a, max(w.end_ms) FILTER (w.start_ms < iv.end_ms) AS b,
   round(coalesce(avg(CAST(round(p * 100) AS BIGINT)) FILTER (w.start_ms >= iv.start_ms AND w.end_ms <= iv.end_ms) / 100, 1.0), 6) AS confidence
-  FROM iv JOIN w ON iv.doc_id = w.doc_id GROUP BY ALL)
+  FROM iv LEFT JOIN w ON iv.doc_id = w.doc_id GROUP BY ALL)
 SELECT doc_id, ord, start_ms, end_ms, CASE WHEN a < b THEN a END AS snapped_start, CASE WHEN a < b THEN b END AS snapped_end, confidence FROM j"""
 )
 def snap_words(spark, sf_dir):
-    out = snap_to_words(_intervals(spark, sf_dir), exploded_words(_transcripts(spark, sf_dir)), "doc_id")
+    """A fixture of two intervals for each document, snapped to its words."""
+    out = snap_to_words(_intervals(spark, sf_dir), _transcripts(spark, sf_dir))
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -262,8 +274,8 @@ def _samples(spark, sf_dir):
 
 
 _EP = """sm AS (SELECT user_id, CAST(date_diff('microsecond', (SELECT min(ts) FROM events), ts) // 3600000000 AS INT) AS sec, CASE WHEN event_type <> 'error' THEN -value END AS db FROM events),
-pp AS (SELECT user_id, sec, avg(db) AS db FROM sm GROUP BY 1, 2),
-sp AS (SELECT user_id, max(sec) AS last, least(coalesce(min(db), -60), -60) AS fl FROM pp GROUP BY 1),
+sp AS (SELECT user_id, max(sec) AS last, least(coalesce(min(db), -60), -60) AS fl FROM sm GROUP BY 1),
+pp AS (SELECT user_id, sec, avg(coalesce(db, fl)) AS db FROM sm JOIN sp USING (user_id) GROUP BY 1, 2),
 ev AS (SELECT user_id, fl, CAST(unnest(range(0, last + 1)) AS INT) AS sec FROM sp),
 ep AS (SELECT ev.user_id, ev.sec, coalesce(db, fl) AS db FROM ev LEFT JOIN pp ON pp.user_id = ev.user_id AND pp.sec = ev.sec)"""
 
@@ -310,12 +322,12 @@ def face_clusters(spark, sf_dir):
 
 @query()
 def caption_pages_clean(spark, sf_dir):
-    return series.page_events(series.clean_pages(_transcripts(spark, sf_dir)), 160)
+    return series.clean_pages(_transcripts(spark, sf_dir))
 
 
 @query()
 def caption_pages_impact(spark, sf_dir):
-    return series.page_events(series.impact_pages(_transcripts(spark, sf_dir)), 200)
+    return series.impact_pages(_transcripts(spark, sf_dir))
 
 
 @query()
@@ -537,7 +549,7 @@ def runs_interrupted(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_V}, r AS (SELECT v.doc_id, proposal, place, array_to_string(CASE WHEN len(reasons) = 0 AND place IS NULL THEN ['overlap'] ELSE reasons END, '; ') AS why FROM v LEFT JOIN gv ON v.doc_id = gv.doc_id AND v.proposal = gv.ord)
+    f"""WITH {_V}, r AS (SELECT v.doc_id, proposal, place, array_to_string(CASE WHEN len(reasons) = 0 AND place IS NULL THEN ['overlaps more than 30% with a higher-ranked clip'] ELSE reasons END, '; ') AS why FROM v LEFT JOIN gv ON v.doc_id = gv.doc_id AND v.proposal = gv.ord)
 SELECT doc_id, count(place) AS accepted, count(*) - count(place) AS rejected,
 coalesce(array_to_string(list(proposal || ': ' || why ORDER BY proposal) FILTER (place IS NULL)[1:12], chr(10)), '') AS first_rejections FROM r GROUP BY doc_id"""
 )

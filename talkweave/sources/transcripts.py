@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from talkweave.functions.text import rate
+from talkweave.functions.text import once, rate
 
 WORD_PITCH_MS, WORD_MS = 360, 300
 
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores where its files give fewer partitions; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def timed_words(text: Column, doc: Column) -> Column:
     """A text as an array of (text, start_ms, end_ms, p): words at a fixed pitch, in one expression."""
     words = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
@@ -46,7 +52,7 @@ def timed_words(text: Column, doc: Column) -> Column:
 
 def documents_as_transcripts(docs: DataFrame) -> DataFrame:
     """(doc_id, words): one row per document, so that per-document work needs no shuffle."""
-    return docs.select("doc_id", timed_words(F.col("text"), F.col("doc_id")).alias("words"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", once(timed_words(F.col("text"), F.col("doc_id"))).alias("words"))
 
 
 def exploded_words(transcripts: DataFrame) -> DataFrame:
