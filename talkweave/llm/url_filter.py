@@ -124,6 +124,6 @@ def judge_urls(
         same = (F.col("host") == F.col("best_host")) & (F.col("path") == F.col("best_path")) & (F.col("salt") == F.col("best_salt"))
         return scratch.keep(
             p.withColumn("salt", salt)
-            .join(best, same, "left")
+            .join(best.hint("merge"), same, "left")  # as many rows as distinct pages that a rule fits: never broadcast
             .select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
         )
