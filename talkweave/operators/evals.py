@@ -43,12 +43,12 @@ def rubric_rows(raw: DataFrame, scores: list[str] = RUBRIC_SCORES) -> DataFrame:
 
 
 def review(rows: DataFrame, scores: list[str] = RUBRIC_SCORES) -> DataFrame:
-    """One row: reviewed, would_post_rate, averages over the scores present, decision errors."""
-    good = rows.where("valid")
+    """One row: reviewed, would_post_rate (of all reviewed), averages over the scores present, decision errors."""
+    good = rows.where("valid").withColumn("decision_error", F.lower(F.trim("decision_error")))
     posted = F.count_if(F.col("would_post_1to5") >= 4)
     return good.agg(
         F.count("*").alias("reviewed"),
-        F.round(F.try_divide(posted.cast("double"), F.count("would_post_1to5")), 3).alias("would_post_rate"),
+        F.round(F.try_divide(posted.cast("double"), F.count("*")), 3).alias("would_post_rate"),
         *[F.round(F.avg(c), 3).alias(c) for c in scores],
         F.count_if(F.col("decision_error") == "false_accept").alias("false_accepts"),
         F.count_if(F.col("decision_error") == "false_reject").alias("false_rejects"),

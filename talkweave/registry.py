@@ -561,9 +561,9 @@ def project_views(spark, sf_dir):
     return rows.select("doc_id", "accepted", "rejected", F.array_join(said, "\n").alias("first_rejections"))
 
 
-@query(f"WITH {_SRC}, o AS (SELECT {_OPERATIONAL} FROM src) SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' if c in ('source_count', 'completed_sources', 'failed_sources', 'ready_clips', 'accepted_candidates', 'rejected_candidates') else (chr(39) * 2 + ' AS ' + c) for c in reports.CSV_FIELDS)} FROM o")
+@query(f"WITH {_SRC}, o AS (SELECT {_OPERATIONAL} FROM src) SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' if c in ('source_count', 'completed_sources', 'completion_rate', 'failed_sources', 'ready_clips', 'accepted_candidates', 'rejected_candidates', 'duplicate_rate') else (chr(39) * 2 + ' AS ' + c) for c in reports.CSV_FIELDS)} FROM o")
 def report_csv(spark, sf_dir):
-    return reports.csv_row(evals.operational(_sources(spark, sf_dir)).drop("completion_rate", "duplicate_rate"))
+    return reports.csv_row(evals.operational(_sources(spark, sf_dir)))
 
 
 @query()

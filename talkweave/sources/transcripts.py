@@ -18,7 +18,7 @@ transcription array<struct<text: string, offsets: struct<`from`: bigint, `to`: b
 PROBE_SCHEMA = """
 format struct<duration: string, size: string>,
 streams array<struct<codec_type: string, codec_name: string, width: int, height: int,
-  avg_frame_rate: string, r_frame_rate: string>>
+  avg_frame_rate: string, r_frame_rate: string, duration: string>>
 """
 REPLY_SCHEMA = """
 candidates array<struct<start_ms: double, end_ms: double, headline: string, opening_quote: string,
@@ -63,46 +63,87 @@ def read_recogniser(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECOGNISER_SCHEMA).option("multiLine", True).json(path).withColumn("project_id", F.col("_metadata.file_path"))
 
 
-def recognised_words(scans: DataFrame) -> DataFrame:
-    """Tokens merged to words: (project_id, word, text, start_ms, end_ms, p).
+_LEXICAL = r"[\p{L}\p{N}]"
+_ANNOTATION = r"(?s)^\[.*\]$|^\(.*\)$"
 
-    A token that begins with white space begins a word. Special and bracketed tokens and tokens
-    without times are skipped, reversed times swapped; punctuation extends the text but not the
-    time; a word has a letter or digit and lasts 10 ms at least; p is the mean over lexical tokens.
-    """
+
+def _token_words(scans: DataFrame) -> DataFrame:
+    """(project_id, seg, word, text, start_ms, end_ms, p) of the words that tokens make up."""
     tokens = (
         scans.select("project_id", F.posexplode("transcription").alias("seg", "s"))
         .select("project_id", "seg", F.posexplode("s.tokens").alias("tok", "t"))
-        .where(~F.trim("t.text").rlike(r"^\[_.*\]$|^\[.*\]$|^\(.*\)$") & F.col("t.offsets.from").isNotNull() & F.col("t.offsets.to").isNotNull())
-        .select(
-            "project_id",
-            "seg",
-            "tok",
-            F.col("t.text").alias("text"),
-            F.least("t.offsets.from", "t.offsets.to").alias("a"),
-            F.greatest("t.offsets.from", "t.offsets.to").alias("b"),
-            F.col("t.p").alias("p"),
-            F.col("t.text").rlike(r"^\s").cast("int").alias("begins"),
-            F.col("t.text").rlike(r"[\p{L}\p{N}]").alias("lexical"),
-        )
+        .withColumn("text", F.regexp_replace("t.text", r"^\s+|\s+$", ""))
+        .where((F.col("text") != "") & ~F.col("text").startswith("[_"))
     )
-    order = Window.partitionBy("project_id").orderBy("seg", "tok")
-    words = tokens.withColumn("word", F.sum(F.greatest("begins", (F.col("tok") == 0).cast("int"))).over(order))
-    piece = F.struct("seg", "tok", "text")
-    return (
-        words.groupBy("project_id", "word")
-        .agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "").alias("text"),
-            F.min(F.when(F.col("lexical"), F.col("a"))).alias("start_ms"),
-            F.max(F.when(F.col("lexical"), F.col("b"))).alias("end_ms"),
-            F.coalesce(F.avg(F.when(F.col("lexical"), F.col("p"))), F.lit(0.5)).alias("p"),
-        )
-        .where("start_ms is not null")
-        .withColumn("text", F.trim("text"))
-        .withColumn("end_ms", F.greatest("end_ms", F.col("start_ms") + 10))
+    # breaks count before anything else is left out, and no word goes on in the next segment
+    order = Window.partitionBy("project_id", "seg").orderBy("tok")
+    tokens = tokens.withColumn("word", F.sum(F.col("t.text").rlike(r"^\s").cast("int")).over(order)).withColumn("lexical", F.col("text").rlike(_LEXICAL))
+    timed = tokens.where(~F.col("text").rlike(_ANNOTATION) & F.col("t.offsets.from").isNotNull() & F.col("t.offsets.to").isNotNull())
+    a, b = F.least("t.offsets.from", "t.offsets.to"), F.greatest("t.offsets.from", "t.offsets.to")
+    piece = F.struct("tok", "text", a.alias("a"), b.alias("b"), F.coalesce("t.p", F.lit(0.5)).alias("p"), "lexical")
+    words = timed.groupBy("project_id", "seg", "word").agg(F.array_sort(F.collect_list(piece)).alias("all"))
+    # marks before the first lexical token belong to no word; later ones extend the text, not the time
+    first = F.array_min(F.transform(F.filter("all", lambda x: x["lexical"]), lambda x: x["tok"]))
+    words = words.withColumn("all", F.filter("all", lambda x: x["tok"] >= first)).withColumn("said", F.filter("all", lambda x: x["lexical"]))
+    start, n = F.get("said", F.lit(0))["a"], F.size("said")
+    return words.where(n > 0).select(
+        "project_id",
+        "seg",
+        "word",
+        F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text"),
+        start.alias("start_ms"),
+        F.greatest(F.array_max(F.transform("said", lambda x: x["b"])), start + 10).alias("end_ms"),
+        (F.aggregate("said", F.lit(0.0), lambda s, x: s + x["p"]) / n).alias("p"),
     )
 
 
+def _segment_words(scans: DataFrame) -> DataFrame:
+    """Segments as words, for scans without timed tokens; annotations and segments without a letter or digit are left out."""
+    s = scans.select("project_id", F.posexplode("transcription").alias("seg", "s"))
+    text = F.regexp_replace(F.coalesce("s.text", F.lit("")), r"^\s+|\s+$", "")
+    known = F.filter("s.tokens", lambda t: ~F.coalesce(t["text"].startswith("[_"), F.lit(False)) & t["p"].isNotNull())
+    start = F.coalesce("s.offsets.from", F.lit(0).cast("long"))
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, t: a + t["p"]), F.size(known))
+    rows = s.select("project_id", "seg", F.lit(0).cast("long").alias("word"), text.alias("text"), start.alias("start_ms"), F.greatest(F.coalesce("s.offsets.to", start), start).alias("end_ms"), F.coalesce(mean, F.lit(0.5)).alias("p"))
+    return rows.where(F.col("text").rlike(_LEXICAL) & ~F.col("text").rlike(_ANNOTATION))
+
+
+def _apart(words: Column) -> Column:
+    """Words in order, overlaps of neighbours split half-way, each word keeping 10 ms; the later word's new
+    times hold when the one after it is looked at."""
+
+    def step(out: Column, w: Column) -> Column:
+        before = F.try_element_at(out, F.lit(-1))
+        low, high = before["start_ms"] + 10, w["end_ms"] - 10
+        half = w["start_ms"] + F.floor((before["end_ms"] - w["start_ms"]) / 2)
+        cut = F.when(low <= high, F.least(F.greatest(half, low), high)).otherwise(low).cast("long")
+        split = F.concat(
+            F.slice(out, F.lit(1), F.size(out) - 1),
+            F.array(before.withField("end_ms", cut), w.withField("start_ms", cut).withField("end_ms", F.greatest(w["end_ms"], cut + 10))),
+        )
+        return F.when(before["end_ms"] > w["start_ms"], split).otherwise(F.concat(out, F.array(w)))
+
+    return F.aggregate(words, F.filter(words, lambda w: F.lit(False)), step)
+
+
+def recognised_words(scans: DataFrame) -> DataFrame:
+    """Recogniser output as words: (project_id, ord, text, start_ms, end_ms, p).
+
+    A token that begins with white space begins a word, as does a segment. Special and bracketed
+    tokens, those without times and marks before a word are skipped, reversed times swapped;
+    punctuation extends the text but not the time; p is the mean over lexical tokens, unknown ones
+    0.5; overlapping neighbours are split. A scan without a timed word is read by segments instead.
+    """
+    made = _token_words(scans)
+    rest = scans.join(made.select("project_id").distinct(), "project_id", "left_anti")
+
+    def listed(words: DataFrame) -> DataFrame:
+        return words.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("seg", "word", "text", "start_ms", "end_ms", "p"))).alias("words"))
+
+    whole = listed(made).select("project_id", _apart(F.col("words")).alias("words")).union(listed(_segment_words(rest)))
+    return whole.select("project_id", F.posexplode("words").alias("ord", "w")).select("project_id", "ord", "w.text", "w.start_ms", "w.end_ms", "w.p")
+
+
 def probed_source(raw: DataFrame, json_col: str = "json") -> DataFrame:
     """Probe JSON as source columns and ``error`` (null when the source can be used)."""
     j = F.from_json(F.col(json_col), PROBE_SCHEMA)
@@ -111,7 +152,7 @@ def probed_source(raw: DataFrame, json_col: str = "json") -> DataFrame:
         return F.try_element_at(F.filter(j["streams"], lambda s: s["codec_type"] == kind), F.lit(1))
 
     v, a = first("video"), first("audio")
-    ms = F.round(j["format"]["duration"].try_cast("double") * 1000).cast("long")
+    ms = F.floor(F.coalesce(j["format"]["duration"].try_cast("double"), v["duration"].try_cast("double")) * 1000).cast("long")
     error = (
         F.when(v.isNull(), "no video stream")
         .when(a.isNull(), "no audio stream")
@@ -125,8 +166,9 @@ def probed_source(raw: DataFrame, json_col: str = "json") -> DataFrame:
         v["width"].alias("width"),
         v["height"].alias("height"),
         F.coalesce(rate(v["avg_frame_rate"]), rate(v["r_frame_rate"]), F.lit(30.0)).alias("fps"),
-        v["codec_name"].alias("video_codec"),
-        a["codec_name"].alias("audio_codec"),
+        F.coalesce(v["codec_name"], F.lit("unknown")).alias("video_codec"),
+        F.coalesce(a["codec_name"], F.lit("unknown")).alias("audio_codec"),
+        F.coalesce(j["format"]["size"].try_cast("long"), F.lit(0).cast("long")).alias("size_bytes"),
         error.alias("error"),
     )
 
