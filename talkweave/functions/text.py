@@ -97,9 +97,10 @@ def subtitle_escape(text: Column) -> Column:
 
 
 def hex_to_bgr(colour: Column, default: str = "FFFFFF") -> Column:
-    """#RRGGBB as BBGGRR in upper case; anything else is the default."""
-    ok = F.coalesce(colour.rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False))
-    bgr = F.upper(F.concat(F.substring(colour, 6, 2), F.substring(colour, 4, 2), F.substring(colour, 2, 2)))
+    """#RRGGBB, with or without the hash, as BBGGRR in upper case; anything else is the default."""
+    digits = F.regexp_replace(F.trim(colour), "^#+", "")
+    ok = F.coalesce(digits.rlike("^[0-9A-Fa-f]{6}$"), F.lit(False))
+    bgr = F.upper(F.concat(F.substring(digits, 5, 2), F.substring(digits, 3, 2), F.substring(digits, 1, 2)))
     return F.when(ok, bgr).otherwise(F.lit(default))
 
 

@@ -14,10 +14,16 @@ def rejection_is_duplicate(reasons: Column) -> Column:
 
 
 def operational(sources: DataFrame, *by: str) -> DataFrame:
-    """Totals and rates over source rows, for all of them or by columns."""
+    """Totals and rates over source rows, for all of them or by columns; failed_clips and duration_seconds
+    (numbers only) are summed where the sources have them."""
     done = F.count_if(F.col("status") == "complete")
     candidates = F.sum(F.col("accepted") + F.col("rejected"))
     grouped = sources.groupBy(*by) if by else sources
+    more = []
+    if "failed_clips" in sources.columns:
+        more.append(F.coalesce(F.sum("failed_clips"), F.lit(0)).alias("failed_clips"))
+    if "duration_seconds" in sources.columns:
+        more.append(F.round(F.coalesce(F.sum(F.col("duration_seconds").try_cast("double")), F.lit(0.0)), 3).alias("total_duration_seconds"))
     return grouped.agg(
         F.count("*").alias("source_count"),
         done.alias("completed_sources"),
@@ -29,9 +35,19 @@ def operational(sources: DataFrame, *by: str) -> DataFrame:
         F.sum("rejected").alias("rejected_candidates"),
         F.sum("duplicate_rejections").alias("duplicate_rejections"),
         F.round(F.try_divide(F.sum("duplicate_rejections").cast("double"), candidates), 3).alias("duplicate_rate"),
+        *more,
     )
 
 
+def counters(sources: DataFrame, *columns: str) -> DataFrame:
+    """(counter, value, n): how many sources have each value of each column, null being ``unknown``.
+
+    One pass for all columns; rows combine before the shuffle.
+    """
+    said = F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns]))
+    return sources.select(said).groupBy("counter", "value").agg(F.count("*").alias("n"))
+
+
 def rubric_rows(raw: DataFrame, scores: list[str] = RUBRIC_SCORES) -> DataFrame:
     """Rubric rows with numeric scores and ``valid`` (every given score a number from 1 to 5)."""
     checks = [F.coalesce(F.trim(F.col(c)) == "", F.lit(True)) | F.coalesce(F.col(c).try_cast("double").between(1, 5), F.lit(False)) for c in scores]
@@ -42,12 +58,18 @@ def rubric_rows(raw: DataFrame, scores: list[str] = RUBRIC_SCORES) -> DataFrame:
     return raw.where(~empty).withColumn("valid", valid).withColumns({c: F.col(c).try_cast("double") for c in scores})
 
 
+def invalid_rows(rows: DataFrame, row: str = "row") -> DataFrame:
+    """The numbers of the rubric rows that can't be used."""
+    return rows.where(~F.col("valid")).select(row)
+
+
 def review(rows: DataFrame, scores: list[str] = RUBRIC_SCORES) -> DataFrame:
-    """One row: reviewed, would_post_rate (of all reviewed), averages over the scores present, decision errors."""
+    """One row: reviewed, would_post_count and would_post_rate (of all reviewed), averages over the scores present, decision errors."""
     good = rows.where("valid").withColumn("decision_error", F.lower(F.trim("decision_error")))
     posted = F.count_if(F.col("would_post_1to5") >= 4)
     return good.agg(
         F.count("*").alias("reviewed"),
+        posted.alias("would_post_count"),
         F.round(F.try_divide(posted.cast("double"), F.count("*")), 3).alias("would_post_rate"),
         *[F.round(F.avg(c), 3).alias(c) for c in scores],
         F.count_if(F.col("decision_error") == "false_accept").alias("false_accepts"),

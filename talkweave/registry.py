@@ -5,29 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkweave import run_queries  # noqa: F401 (registers its queries)
 from talkweave.functions import text as X
-from talkweave.operators import artifacts, captions, evals, framing, segments, series, signals
+from talkweave.operators import artifacts, captions, evals, framing, segments, series, signals, validation
 from talkweave.operators.intervals import snap_to_words
-from talkweave.plans import clips
+from talkweave.plans import clips, prompts
+from talkweave.registration import QUERIES, SQL, fold_sql, query
 from talkweave.sources import reports
 from talkweave.sources.transcripts import documents_as_transcripts, exploded_words, table
 from talkweave.streaming import lifecycle
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "clips_validated"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -113,6 +103,9 @@ _END_SCORE = (
 )
 
 
+_CLOCK = "CASE WHEN {0} >= 3600000 THEN printf('%d:%02d:%02d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60) ELSE printf('%02d:%02d', {0} // 60000, {0} // 1000 % 60) END"
+
+
 def _duck(sql: str) -> str:
     return sql.replace("startswith(", "starts_with(")
 
@@ -188,18 +181,6 @@ def rubric_scores(spark, sf_dir):
     return clips.candidates(_docs(spark, sf_dir)).select("doc_id", "s", "e", *signals.SCORES_SQL, F.col("composite").cast("double").alias("composite"))
 
 
-def _fold(rows: str, hit: str, cap: str = "true", name: str = "g") -> str:
-    """Recursive greedy fold over (doc_id, rn, ord, start_ms, end_ms): the rows that are kept."""
-    return f"""{name} AS (
-  WITH RECURSIVE r AS (
-    SELECT doc_id, 0 AS rn, CAST([] AS STRUCT(ord INT, a BIGINT, b BIGINT)[]) AS kept FROM (SELECT DISTINCT doc_id FROM {rows})
-    UNION ALL
-    SELECT r.doc_id, x.rn, CASE WHEN ({cap}) AND len(list_filter(kept, lambda k: {hit})) = 0
-      THEN list_append(kept, {{'ord': x.ord, 'a': x.start_ms, 'b': x.end_ms}}) ELSE kept END
-    FROM r JOIN {rows} x ON x.doc_id = r.doc_id AND x.rn = r.rn + 1)
-  SELECT doc_id, unnest(kept).ord AS ord, generate_subscripts(kept, 1) AS place FROM (SELECT doc_id, arg_max(kept, rn) AS kept FROM r GROUP BY 1))"""
-
-
 _P = (
     _F
     + """,
@@ -207,7 +188,7 @@ dd AS (SELECT doc_id, max(end_ms) + 500 AS dur FROM w GROUP BY 1),
 c1 AS MATERIALIZED (SELECT cs.doc_id, s AS ord, start_ms, cs.end_ms, least(greatest((dur + 29999) // 30000, 6), 30) AS cap, greatest(dur // 3, 1) AS third,
   row_number() OVER (PARTITION BY cs.doc_id ORDER BY composite DESC, s) AS rn FROM cs JOIN dd USING (doc_id)),
 """
-    + _fold(
+    + fold_sql(
         "c1",
         "CAST(greatest(least(k.b, x.end_ms) - greatest(k.a, x.start_ms), 0) AS DOUBLE) / greatest(x.end_ms - x.start_ms, 1) > 0.25",
         "len(kept) < x.cap AND len(list_filter(kept, lambda k: least(k.a // x.third, 2) = least(x.start_ms // x.third, 2))) < greatest(x.cap // 2, 2)",
@@ -227,7 +208,7 @@ _V = (
 v AS MATERIALIZED (SELECT g.doc_id, CAST(place AS INT) AS proposal, s, e, start_ms, end_ms, {_REASONS} AS reasons, {signals.VALIDATION_SQL} AS quality FROM g JOIN cs ON g.doc_id = cs.doc_id AND g.ord = cs.s),
 v1 AS MATERIALIZED (SELECT doc_id, proposal AS ord, start_ms, end_ms, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, proposal) AS rn FROM v WHERE len(reasons) = 0),
 """
-    + _fold(
+    + fold_sql(
         "v1",
         "CAST(greatest(least(k.b, x.end_ms) - greatest(k.a, x.start_ms), 0) AS DOUBLE) / greatest(x.end_ms - x.start_ms, 1) > 0.3 OR (x.start_ms <= k.a AND x.end_ms >= k.b)",
         name="gv",
@@ -570,3 +551,118 @@ def report_csv(spark, sf_dir):
 def report_markdown(spark, sf_dir):
     s = _sources(spark, sf_dir)
     return reports.markdown_lines(evals.operational(s), s.withColumnRenamed("rejected", "rejected_candidates"))
+
+
+@query(
+    f"""WITH {_S}, d AS (SELECT doc_id, max(end_ms) + 500 AS dur FROM w GROUP BY 1),
+win AS (SELECT doc_id, dur, unnest(range(0, 1 + greatest(0, CAST(ceil((dur - 720000) / 600000.0) AS BIGINT)))) AS win FROM d),
+t AS (SELECT doc_id, dur, win, win * 600000 AS a, least(win * 600000 + 720000, dur) AS b, string_agg(printf('[%s.%03d --> %s.%03d] %s', {_CLOCK.format("s.start_ms")}, s.start_ms % 1000, {_CLOCK.format("s.end_ms")}, s.end_ms % 1000, s.text) || chr(10), '' ORDER BY sent_ord) AS lines
+  FROM win JOIN s USING (doc_id) WHERE NOT (s.end_ms < win * 600000 OR s.start_ms > least(win * 600000 + 720000, dur)) GROUP BY 1, 2, 3),
+u AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, greatest(CAST(round(dur / 600000.0::DOUBLE) AS BIGINT), 1) AS target FROM t),
+v AS (SELECT *, greatest(CAST(ceil(greatest(CAST(ceil(target * 1.5) AS BIGINT), 3) / n::DOUBLE) AS BIGINT), 2) AS each FROM u)
+SELECT doc_id, win, each AS per_window, 'Source: "' || coalesce(source, '') || '" — total duration ' || {_CLOCK.format("dur")} || ' (' || dur || ' ms). Planning target for the whole source: about ' || target || ' clip(s); this is guidance, not a quota.' || chr(10) || chr(10)
+  || 'Transcript window (' || {_CLOCK.format("a")} || ' → ' || {_CLOCK.format("b")} || '), one sentence per line as [start --> end] text:' || chr(10) || chr(10) || lines || chr(10) || chr(10) || 'Propose up to ' || each
+  || ' strong candidates from THIS window only. Timestamps are absolute source milliseconds. Remember: return only the JSON object.' AS prompt FROM v JOIN documents USING (doc_id)"""
+)
+def model_prompts(spark, sf_dir):
+    names = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("filename"))
+    return prompts.prompts(segments.sentence_rows(_transcripts(spark, sf_dir)), names).select("doc_id", F.col("win").cast("long").alias("win"), "per_window", "prompt")
+
+
+# Five candidates from outside for each document: (ord, start, end), the third reversed, the next two beyond the words.
+_OUTSIDE_SCORES = {"self_contained": "doc_id % 3 + 3", "opening_strength": "3", "specificity": "3", "tension": "2", "payoff": "doc_id % 2 + 3", "clarity": "4 + doc_id % 2", "context_dependency": "doc_id % 4", "slop_risk": "doc_id % 7 % 3"}
+
+
+def _outside(spark, sf_dir):
+    t = _transcripts(spark, sf_dir)
+    t = t.withColumn("duration_ms", F.get("words", F.size("words") - 1)["end_ms"] + 500)
+    text = F.transform("words", lambda w: w["text"])
+
+    def words(first: int, n: int):
+        return F.array_join(F.slice(text, first + 1, n), " ")
+
+    last = F.coalesce("duration_ms", F.lit(0))
+    rows = [(0, F.lit(0), F.lit(30_000), words(0, 4), words(78, 6)), (1, F.lit(40_250), F.lit(95_555), words(0, 3), F.lit("...")), (2, F.lit(5_000), F.lit(4_000), words(0, 4), words(0, 4)),
+            (3, F.lit(0), F.lit(9_999_999_999), words(0, 4), words(0, 4)), (4, last + 100, last + 400, words(0, 4), words(0, 4))]
+    made = [
+        F.struct(F.lit(i).alias("ord"), a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"), p.alias("opening_quote"), q.alias("closing_quote")) for i, a, b, p, q in rows
+    ]
+    c = t.select("doc_id", F.inline(F.array(*made))).select("*", *[F.expr(f"cast({x} as int)").alias(k) for k, x in _OUTSIDE_SCORES.items()])
+    return c, t
+
+
+def _norm(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+_LOW = [("self_contained", "<", 4, "below"), ("payoff", "<", 3, "below"), ("clarity", "<", 4, "below"), ("context_dependency", ">", 2, "above"), ("slop_risk", ">", 2, "above")]
+_JUDGED = f"""{_W}, dz AS (SELECT doc_id, l, len(l) AS n, CASE WHEN len(l) > 0 THEN 360 * len(l) + 440 ELSE 0 END AS dur FROM ws),
+c0 AS (SELECT doc_id, l, n, dur, CAST(unnest([0, 1, 2, 3, 4]) AS INT) AS ord, CAST(unnest([0, 40250, 5000, 0, dur + 100]) AS BIGINT) AS st, CAST(unnest([30000, 95555, 4000, 9999999999, dur + 400]) AS BIGINT) AS en,
+  unnest([array_to_string(l[1:4], ' '), array_to_string(l[1:3], ' '), '', '', '']) AS oq, unnest([array_to_string(l[79:84], ' '), '...', '', '', '']) AS cq FROM dz),
+c2 AS (SELECT *, greatest(0, (st + 60) // 360) AS a, least(n - 1, (en + 359) // 360 - 1) AS b, {", ".join(f"{x} AS {k}" for k, x in _OUTSIDE_SCORES.items())} FROM c0),
+c3 AS (SELECT *, CASE WHEN st >= en OR en > dur + 500 THEN 'bounds' WHEN a >= n OR b < 0 OR 360 * a >= 360 * b + 300 THEN 'words' END AS gate, {_norm("array_to_string(l[a + 1:b + 1], ' ')")} AS ex, {_norm("oq")} AS o, {_norm("cq")} AS c FROM c2),
+c4 AS (SELECT *, CASE WHEN gate IS NULL THEN 360 * a ELSE st END AS start_ms, CASE WHEN gate IS NULL THEN 360 * b + 300 ELSE en END AS end_ms, least(greatest(strlen(ex), 1) // 4, 160) AS zone FROM c3),
+c5 AS (SELECT *, end_ms - start_ms BETWEEN 20000 AND 90000 AS usual, end_ms - start_ms BETWEEN 15000 AND 110000 AND payoff >= 4 AND self_contained >= 5 AND clarity >= 4 AS exc FROM c4),
+jd AS MATERIALIZED (SELECT doc_id, ord, start_ms, end_ms, gate IS NULL AND exc AND NOT usual AS excepted,
+  {" + ".join(f"CAST({k} AS FLOAT) * CAST({w} AS FLOAT)" for k, w in [("self_contained", 2.0), ("payoff", 1.6), ("opening_strength", 1.4), ("clarity", 1.2), ("tension", 1.0), ("specificity", 0.8), ("context_dependency", -1.5), ("slop_risk", -2.0)])} AS quality,
+  list_filter(CASE gate WHEN 'bounds' THEN [CASE WHEN st >= en THEN 'start time is not before end time' END,
+      CASE WHEN en > dur + 500 THEN 'end timestamp ' || {_CLOCK.format("en")} || ' is outside the source duration ' || {_CLOCK.format("dur")} END]
+    WHEN 'words' THEN ['interval contains no transcribed words']
+    ELSE [{", ".join(f"CASE WHEN {k} {op} {n} THEN '{k} ' || {k} || ' is {word} {n}' END" for k, op, n, word in _LOW)},
+      CASE WHEN NOT usual AND NOT exc THEN 'duration ' || ((end_ms - start_ms) // 1000) || 's falls outside 20–90 seconds' END,
+      CASE WHEN o = '' THEN 'opening quote is empty' WHEN NOT contains(ex, o) THEN 'opening quote cannot be found in the transcribed excerpt' WHEN strlen(left(ex, strpos(ex, o) - 1)) > zone THEN 'opening quote is not near the start of the excerpt' END,
+      CASE WHEN c = '' THEN 'closing quote is empty' WHEN NOT contains(ex, c) THEN 'closing quote cannot be found in the transcribed excerpt' WHEN strlen(right(ex, strpos(reverse(ex), reverse(c)) - 1)) > zone THEN 'closing quote is not near the end of the excerpt' END]
+    END, lambda x: x IS NOT NULL) AS reasons FROM c5),
+v1 AS MATERIALIZED (SELECT doc_id, ord, start_ms, end_ms, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, ord) AS rn FROM jd WHERE len(reasons) = 0),
+""" + fold_sql(
+    "v1",
+    "CAST(greatest(least(k.b, x.end_ms) - greatest(k.a, x.start_ms), 0) AS DOUBLE) / greatest(x.end_ms - x.start_ms, 1) > 0.3 OR (x.start_ms <= k.a AND x.end_ms >= k.b)",
+    name="gv",
+)
+
+
+@query(
+    f"""WITH {_JUDGED} SELECT jd.doc_id, jd.ord, start_ms, end_ms, array_to_string(reasons, '; ') AS reasons, excepted, CAST(quality AS DOUBLE) AS quality, CAST(place AS INT) AS place
+FROM jd LEFT JOIN gv ON gv.doc_id = jd.doc_id AND gv.ord = jd.ord"""
+)
+def candidates_judged(spark, sf_dir):
+    """Candidates from outside, through the validator's gates: bounds, words, scores, duration, quotes, overlap."""
+    out = validation.validated(*_outside(spark, sf_dir))
+    return out.select("doc_id", "ord", "start_ms", "end_ms", F.array_join("reasons", "; ").alias("reasons"), "excepted", F.col("quality").cast("double").alias("quality"), "place")
+
+
+def _lead(t: str) -> str:
+    for lead in X.HEADLINE_LEADS:
+        t = f"regexp_replace({t}, '^(?i){lead} \\s*', '')"
+    return f"regexp_replace({t}, '[.,]+$', '')"
+
+
+@query(
+    f"""WITH {_P}, pw AS (SELECT g.doc_id, place, cs.* EXCLUDE (doc_id) FROM g JOIN cs ON g.doc_id = cs.doc_id AND g.ord = cs.s),
+p5 AS (SELECT pw.doc_id, pw.place, pw.s, pw.e, x.sent_ord, x.text AS opener, lower(x.text) AS o, x.claim, x.cw, x.n_words AS o_words FROM pw JOIN nb x ON x.doc_id = pw.doc_id AND x.sent_ord BETWEEN pw.s AND least(pw.e, pw.s + 4)),
+el AS (SELECT DISTINCT p5.doc_id, p5.place, p5.sent_ord FROM p5 JOIN nb y ON y.doc_id = p5.doc_id AND y.sent_ord BETWEEN p5.s AND p5.e AND y.sent_ord <> p5.sent_ord WHERE p5.cw >= 3 AND contains(y.claim, p5.claim)),
+pt AS (SELECT p5.*, CASE WHEN el.place IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN contains(opener, '?') THEN 2 ELSE 0 END + CASE WHEN o_words BETWEEN 3 AND 16 THEN 1 ELSE 0 END - CASE WHEN {_duck(signals.VAGUE)} THEN 3 ELSE 0 END
+  + CASE WHEN len(list_filter(string_split_regex(o, '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}'']+|[^\\p{{L}}\\p{{N}}'']+$', '', 'g') IN ('everyone', 'everybody', 'nobody', 'never', 'always'))) > 0
+    OR regexp_matches(' ' || claim || ' ', ' no one | all of us ') THEN 3 ELSE 0 END AS points FROM p5 LEFT JOIN el USING (doc_id, place, sent_ord)),
+bs AS (SELECT doc_id, place, {_lead("regexp_replace(opener, '^\\s+|\\s+$', '', 'g')")} AS h FROM pt QUALIFY row_number() OVER (PARTITION BY doc_id, place ORDER BY points DESC, sent_ord DESC) = 1),
+hl AS (SELECT *, left(h, 90) AS h9 FROM bs),
+hc AS (SELECT doc_id, place, CASE WHEN length(h) > 90 THEN rtrim(CASE WHEN contains(h9, ' ') THEN left(h9, length(h9) - strpos(reverse(h9), ' ')) ELSE left(h, 87) END) || '…' ELSE h END AS t FROM hl),
+ab AS (SELECT pw.*, a.text AS first, b.text AS last FROM pw JOIN nb a ON a.doc_id = pw.doc_id AND a.sent_ord = pw.s JOIN nb b ON b.doc_id = pw.doc_id AND b.sent_ord = pw.e),
+qt AS (SELECT *, list_filter(string_split_regex(first, '\\s+'), lambda x: x <> '') AS fl, list_filter(string_split_regex(last, '\\s+'), lambda x: x <> '') AS ll FROM ab)
+SELECT qt.doc_id, CAST(qt.place AS INT) AS proposal, upper(left(hc.t, 1)) || substr(hc.t, 2) AS headline, array_to_string(fl[1:12], ' ') AS opening_quote, array_to_string(ll[greatest(len(ll) - 11, 1):], ' ') AS closing_quote,
+'The excerpt ' || CASE WHEN question_open THEN 'opens on a direct question' WHEN hook THEN 'opens by naming its subject immediately' ELSE 'opens on a complete thought' END
+|| CASE WHEN contrast THEN ', sets up a tension or misconception' ELSE '' END || CASE WHEN has_number THEN ', grounds the point in specifics' ELSE '' END || CASE WHEN exchange THEN ', contains a quick question-and-answer turn' ELSE '' END
+|| CASE WHEN repeated_claim THEN ', repeats its central claim for emphasis' ELSE '' END || CASE WHEN payoff_cue THEN ', lands on a stated takeaway before it ends' ELSE ', resolves at a natural sentence boundary' END
+|| '. Selected by local ranking across the full transcript.' AS selection_reason FROM qt JOIN hc ON hc.doc_id = qt.doc_id AND hc.place = qt.place"""
+)
+def clips_presented(spark, sf_dir):
+    return clips.presented(_docs(spark, sf_dir))
+
+
+@query()
+def layout_tracks(spark, sf_dir):
+    d = _detections(spark, sf_dir)
+    sizes = d.groupBy("label").agg((F.max("frame") + 1).alias("n_frames"))
+    i = F.col("label")
+    made = sizes.select("label", "n_frames", F.when(i % 5 == 0, 1000).otherwise(1920).alias("width"), F.lit(1000).alias("height"), (i % 7 > 0).alias("has_model"))
+    return series.layout_tracks(d, made, "label")

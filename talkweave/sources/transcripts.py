@@ -223,7 +223,8 @@ def progress_fraction(line: Column, duration_ms: Column) -> Column:
 
 def read_rubric(spark: SparkSession, path: str) -> DataFrame:
     """The rubric table, all strings; row numbers count from 2, after the header."""
-    return spark.read.csv(path, header=True)
+    one = spark.read.csv(path, header=True, multiLine=True)  # a file is one task's, so its rows are numbered in order
+    return one.withColumn("row", F.monotonically_increasing_id() % (1 << 33) + 2)
 
 
 def read_runs(spark: SparkSession, run_dir: str) -> DataFrame:

@@ -47,3 +47,30 @@ def throttled(progress: DataFrame) -> DataFrame:
     return progress.groupBy("run").applyInPandasWithState(
         step, f"run {kind}, at_ms long, fraction double", "at_ms long, fraction double", "append", "NoTimeout"
     )
+
+
+def lease_stream(requests: DataFrame) -> DataFrame:
+    """A stream of (project_id, seq, kind, generation) as (project_id, seq, kind, generation, granted), by the
+    rules of ``operators.runs.leases``; a batch's requests of a project are taken by seq."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, active = state.get if state.exists else (0, 0)  # no run is generation 0
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for seq, kind, asked in zip(rows["seq"], rows["kind"], rows["generation"]):
+            shown, granted = (None if pd.isna(asked) else int(asked)), False
+            if kind == "start" and not active:
+                last = active = last + 1
+                shown, granted = active, True
+            elif kind == "cancel" and active:
+                shown, granted = active, True
+            elif kind == "finish" and active and shown == active:
+                active, granted = 0, True
+            out.append((key[0], int(seq), kind, shown, granted))
+        state.update((last, active))
+        yield pd.DataFrame(out, columns=["project_id", "seq", "kind", "generation", "granted"]).astype({"generation": "Int64"})
+
+    kind = requests.schema["project_id"].dataType.simpleString()
+    return requests.groupBy("project_id").applyInPandasWithState(
+        step, f"project_id {kind}, seq long, kind string, generation long, granted boolean", "last long, active long", "append", "NoTimeout"
+    )
