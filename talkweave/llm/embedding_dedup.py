@@ -2,7 +2,7 @@
 
 Nodes are distinct vectors. Every node keeps a list of its nearest neighbours known so far. Lists
 start from random-hyperplane leaves; then neighbours of neighbours are compared, in groups of a node
-with its neighbours and some of those that have it as a neighbour, until lists hardly change. A list
+with its neighbours and some of those that have it as a neighbour, until hardly a link is new. A list
 full of links is saturated: such lists double and their groups are joined again, up to a stated length.
 Every group compared on the way also hands on bridges, a spanning forest of the links among its members,
 whatever the lists' length. List entries at or above the threshold and bridges give the components;
@@ -33,7 +33,7 @@ LEAF = 64  # nodes in a leaf, about
 TREES = 4  # at least, and in one step
 SHARED = 0.999  # probability that two vectors at the threshold share a leaf of a pass
 ROUNDS = 6  # of neighbours' neighbours, at most, in each pass
-SETTLED = 0.01  # share of list entries that change in a round when descent ends
+SETTLED = 0.01  # share of the lists' links that are new in a round when descent ends
 LONGEST = 96  # length up to which saturated lists double
 BLOCK = 2048  # nodes in a block of a component
 STRIP = 256  # of them, rows of similarities held at a time
@@ -205,7 +205,7 @@ class _Descent:
         return after
 
     def descend(self, seed: int) -> None:
-        """Trees, then rounds of neighbours' neighbours until lists hardly change."""
+        """Trees, then rounds of neighbours' neighbours until hardly a link is new."""
         for t in range(0, _trees(self.n, self.threshold), TREES):
             before = self.lists
             leaves = _leaves(self.scratch, self.nodes, self.dim, self.n, seed + t)
@@ -215,9 +215,11 @@ class _Descent:
         for r in range(ROUNDS):
             before = self.lists
             self.lists = self._join(_around(self.nodes, before, self.k, seed + r), before, self.k)
-            changed = self.lists.join(before, ["node", "other"], "left_anti").count()
+            # links are what is kept; whether far neighbours still change places matters to none of them
+            links = self.lists.where(F.col("sim") >= self.threshold).join(before.select("node", "other", F.lit(True).alias("old")), ["node", "other"], "left")
+            held, fresh = links.agg(F.count("*"), F.count_if(F.col("old").isNull())).first()
             self.scratch.drop(before)
-            if changed <= SETTLED * self.n * self.k:
+            if fresh <= SETTLED * held:
                 break
 
     def links(self, seed: int) -> DataFrame:
