@@ -35,6 +35,7 @@ LEADERS = 4  # members that a bucket's nodes are compared with, in each of the f
 ORDER_BITS = 18  # counters of the shingle order
 MEMO_WORDS = 300_000  # words whose hash a task keeps
 PIECE_BYTES = 4 << 20  # of sets in a result batch
+STRIP = 1024  # shingles whose minhashes are computed at a time
 
 _MASK = (1 << 64) - 1
 
@@ -53,11 +54,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+
 class Shingler:
     """Shingle sets as sorted distinct 64-bit hashes."""
 
     def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo = _WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.lower changes A-Z only and bytes.split parts at \x20 and \x09-\x0D only
@@ -65,9 +72,6 @@ class Shingler:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         if len(h) == 0:
             return h
@@ -75,20 +79,33 @@ class Shingler:
         sums = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             sums += h[i : len(h) - n + 1 + i] * _PLACE[i]
-        return np.unique(_mixed(sums))
+        found = _mixed(sums)
+        found.sort()
+        return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+_KEY, _MASKS, _FACTORS = (
+    np.array([_odd(name) for name in names], np.uint64)
+    for names in (
+        [f"half{k}" for k in range(2 * SUBKEYS)],
+        [f"mask{k}.{r}" for k in range(2 * SUBKEYS) for r in range(ROWS)],
+        [f"min{k}.{r}" for k in range(2 * SUBKEYS) for r in range(ROWS)],
+    )
+)
 
 
 def _half_keys(found: np.ndarray) -> np.ndarray:
     """2 * SUBKEYS half-keys of a set that isn't empty."""
-    out = np.empty(2 * SUBKEYS, np.uint64)
-    for k in range(2 * SUBKEYS):
-        key = np.uint64(_odd(f"half{k}"))
-        for r in range(ROWS):
-            # members are mixed already: an odd factor after a mask permutes them anew
-            low = ((found ^ np.uint64(_odd(f"mask{k}.{r}"))) * np.uint64(_odd(f"min{k}.{r}"))).min()
-            key = _mixed(np.array([key + low], np.uint64))[0]
-        out[k] = key
-    return out
+    low = np.full(len(_MASKS), _MASK, np.uint64)
+    for at in range(0, len(found), STRIP):
+        # members are mixed already: an odd factor after a mask permutes them anew
+        strip = found[None, at : at + STRIP] ^ _MASKS[:, None]
+        strip *= _FACTORS[:, None]
+        np.minimum(low, strip.min(axis=1), out=low)
+    keys, low = _KEY, low.reshape(2 * SUBKEYS, ROWS)
+    for r in range(ROWS):
+        keys = _mixed(keys + low[:, r])
+    return keys
 
 
 def _prints(rows: DataFrame) -> DataFrame:
