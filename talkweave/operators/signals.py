@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.functions.text import normalize, once, word_list
-from talkweave.operators.segments import LEAST_MS, ends_within
+from talkweave.operators import windows
+from talkweave.sources.transcripts import WORD_MS, WORD_PITCH_MS, spread
 
 # How a hook begins.
 HOOK_STARTS = [
@@ -103,138 +101,38 @@ OVERLAP_REASON = "overlaps more than 30% with a higher-ranked clip"
 ABSOLUTE_WORDS = ["everyone", "everybody", "nobody", "never", "always"]
 
 
-def _absolute(low: Column) -> Column:
-    """Some token is an absolute word, marks around it apart."""
-    return F.exists(word_list(low), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$", "").isin(*ABSOLUTE_WORDS))
-
-
-def absolute_claim(low: Column, claim: Column) -> Column:
-    return _absolute(low) | F.concat(F.lit(" "), claim, F.lit(" ")).rlike(" no one | all of us ")
-
+#: The lists by the names under which ``operators.windows`` looks them up.
+CUES = {
+    "hook": HOOK_STARTS, "contrast": CONTRAST_CUES, "payoff": PAYOFF_CUES, "reference": REFERENCE_CUES, "pronouns": PRONOUN_OPENERS, "fillers": FILLERS,
+    "housekeeping": HOUSEKEEPING_CUES, "absolute": ABSOLUTE_WORDS, "absolute_phrases": ["no one", "all of us"],
+}
 
-def vague_opener(low: Column) -> Column:
-    """At most nine words, and one that points at something unsaid."""
-    points = F.contains(low, F.lit("that")) | F.contains(low, F.lit("this")) | F.contains(low, F.lit("those"))
-    return (F.size(word_list(low)) <= 9) & (points | F.contains(low, F.lit(" it ")) | low.startswith("it "))
-
-
-def _contains_any(text: Column, cues: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in cues])
 
+def with_features(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, duration_ms, parts) as :func:`best_windows` takes them; features are found there, for all sentences at once."""
+    return rows.select("doc_id", "duration_ms", "parts")
 
-def _f32(x) -> Column:
-    return (F.lit(x) if not isinstance(x, Column) else x).cast("float")
 
+def best_windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, duration_ms, s, e, start_ms, end_ms, end_score, payoff_cue, ...): the best end of each start that
+    has one 20 to 90 s later, the first of equal ends, with the window's signals. Cues match the joined text of
+    the window, so one may span sentences; repeated claims and exchanges compare sentences."""
+    return windows.windows_of_rows(rows, CUES)
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, duration_ms, parts) with each sentence's text features in ``parts``."""
-    lowered = rows.withColumn("parts", F.transform("parts", lambda x: x.withField("low", F.lower(x["text"])).withField("claim", normalize(x["text"]))))
-    return lowered.select(
-        *[c for c in rows.columns if c != "parts"],
-        once(F.transform(
-            "parts",
-            lambda x: F.struct(
-                x["sent_ord"].alias("ord"), x["text"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"),
-                x["low"].alias("low"), x["claim"].alias("claim"),
-                F.size(word_list(x["claim"])).alias("claim_words"), F.size(word_list(x["text"])).alias("n_words"), _absolute(x["low"]).alias("absolute"),
-                F.rtrim(x["text"]).rlike("[.?!…]$").alias("terminal"), _contains_any(x["low"], PAYOFF_CUES).alias("payoff_here"),
-            ),
-        )).alias("parts"),
-    )
 
+def document_windows(docs: DataFrame) -> DataFrame:
+    """:func:`best_windows` of documents (doc_id, text) as timed words; nothing but the text goes to Python."""
+    return windows.windows_of_texts(spread(docs.select("doc_id", "text")), CUES, WORD_PITCH_MS, WORD_MS)
 
-def best_windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, duration_ms, s, e, start_ms, end_ms, end_score, payoff_cue, window): the best end of each
-    start that has one 20 to 90 s later; the first of equal ends. ``window`` holds its sentences.
-
-    Everything up to the best end is work on numbers within the document's row; a window's texts are
-    sliced from it once its end is known, and nothing is shuffled or joined.
-    """
-
-    def light(x: Column, i: Column) -> Column:
-        nxt = F.get("parts", i + 1)["start_ms"]
-        base = _f32(0.0) + F.when(x["terminal"], _f32(1.0)).otherwise(_f32(0.0)) + F.when(x["payoff_here"], _f32(1.4)).otherwise(_f32(0.0))
-        pause = F.when(nxt.isNull(), _f32(0.5)).when(nxt - x["end_ms"] >= 700, _f32(0.8)).otherwise(_f32(0.0))
-        cue = x["payoff_here"] | F.coalesce(F.get("parts", i - 1)["payoff_here"], F.lit(False))
-        return F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), (base + pause).alias("base"), cue.alias("cue"), (-i).alias("back"))
-
-    def scored_end(x: Column, c: Column) -> Column:
-        seconds = _f32(_f32(c["end_ms"] - x["start_ms"]) / _f32(1000))
-        off = F.least(_f32(F.abs(seconds - _f32(45)) / _f32(45)), _f32(1))
-        return F.struct((c["base"] + (_f32(1.0) - off * _f32(0.6))).alias("score"), c["back"].alias("back"), c["end_ms"].alias("end_ms"), c["cue"].alias("cue"))
-
-    def best(x: Column, i: Column) -> Column:
-        ends = F.filter(ends_within(F.col("ends"), i, x["start_ms"]), lambda c: c["end_ms"] - x["start_ms"] >= LEAST_MS)
-        return F.struct(i.alias("s"), x["start_ms"].alias("start_ms"), F.array_max(F.transform(ends, lambda c: scored_end(x, c))).alias("best"))
-
-    held = rows.withColumn("ends", F.transform("parts", light)).withColumn("best", F.transform("ends", best)).drop("ends")
-    windows = F.transform(
-        F.filter("best", lambda b: b["best"].isNotNull()),
-        lambda b: F.struct(
-            b["s"].alias("s"), (-b["best"]["back"]).alias("e"), b["start_ms"].alias("start_ms"), b["best"]["end_ms"].alias("end_ms"),
-            b["best"]["score"].alias("end_score"), b["best"]["cue"].alias("payoff_cue"),
-            F.slice("parts", b["s"] + 1, -b["best"]["back"] - b["s"] + 1).alias("window"),
-        ),
-    )
-    return held.select("doc_id", "duration_ms", F.inline(windows))
-
-
-def signals(windows: DataFrame) -> DataFrame:
-    """Window signals as columns. Cues match the joined text of the window, so one may span sentences;
-    repeated claims and exchanges compare sentences."""
-    def joined(field: str):
-        return F.array_join(F.filter(F.transform("window", lambda x: x[field]), lambda t: t != ""), " ")
-
-    w = (
-        windows.withColumn("t", joined("low"))
-        .withColumn("opener", F.get("window", F.lit(0))["text"])
-        .withColumn("o", F.get("window", F.lit(0))["low"])
-        .withColumn("o_words", F.get("window", F.lit(0))["n_words"])
-        .withColumn("first_word", F.coalesce(F.get(word_list(F.col("o")), F.lit(0)), F.lit("")))
-        .withColumn("words", F.greatest(F.aggregate("window", F.lit(0), lambda a, x: a + x["n_words"]), F.lit(1)))
-        .withColumn("norm", joined("claim"))
-        .withColumn("vague_open", F.expr(VAGUE))
-    )
-    padded = F.concat(F.lit(" "), F.replace(F.col("norm"), F.lit(" "), F.lit("  ")), F.lit(" "))
-    count = sum(
-        (F.regexp_count(padded, F.lit(f"(?= {f.replace(' ', '  ')} )")) for f in FILLERS[1:]),
-        F.regexp_count(padded, F.lit(f"(?= {FILLERS[0]} )")),
-    )
 
-    def repeats(a, i):
-        return F.exists(
-            F.slice("window", i + 2, F.size("window")),
-            lambda b: F.when(
-                F.octet_length(a["claim"]) <= F.octet_length(b["claim"]), (a["claim_words"] >= 3) & F.contains(b["claim"], a["claim"])
-            ).otherwise((b["claim_words"] >= 3) & F.contains(a["claim"], b["claim"])),
-        )
-
-    def reacts(x, i):
-        nxt = F.get("window", i + 1)
-        return F.coalesce(
-            F.contains(x["text"], F.lit("?")) & (nxt["n_words"] <= 12) & (nxt["start_ms"] - x["end_ms"] <= 1500), F.lit(False)
-        )
-
-    absolute = F.exists("window", lambda x: x["absolute"])
-    return (
-        w.withColumn("pronoun_open", F.col("first_word").isin(*PRONOUN_OPENERS) | F.col("vague_open"))
-        .withColumn("hook", F.expr(any_of("startswith", "o", HOOK_STARTS)) | F.contains("opener", F.lit("?")))
-        .withColumn("contrast", F.expr(any_of("contains", "t", CONTRAST_CUES)))
-        .withColumn("reference", F.expr(any_of("contains", "t", REFERENCE_CUES)))
-        .withColumn("housekeeping", F.expr(any_of("contains", "t", HOUSEKEEPING_CUES)))
-        .withColumn("has_number", F.col("t").rlike("[0-9]"))
-        .withColumn("fillers", count)
-        .withColumn("filler_rate", (F.col("fillers").cast("float") / F.col("words").cast("float")).cast("float"))
-        .withColumn("question_open", F.contains("opener", F.lit("?")) | F.col("first_word").isin("what", "why", "how", "who", "when"))
-        .withColumn("repeated_claim", F.exists(F.transform("window", repeats), lambda x: x))
-        .withColumn("exchange", F.exists(F.transform("window", reacts), lambda x: x))
-        .withColumn("absolute_claim", absolute | F.concat(F.lit(" "), "norm", F.lit(" ")).rlike(" no one | all of us "))
-    )
+def signals(found: DataFrame) -> DataFrame:
+    """Windows with the rate of their fillers."""
+    return found.withColumn("filler_rate", (F.col("fillers").cast("float") / F.col("words").cast("float")).cast("float"))
 
 
-def scored(windows: DataFrame) -> DataFrame:
+def scored(found: DataFrame) -> DataFrame:
     """Windows with an editorial signal and no blocker, with rubric scores and the composite."""
-    s = signals(windows).where(
+    s = signals(found).where(
         "NOT housekeeping AND NOT (fillers >= 5 AND filler_rate >= CAST(0.08 AS FLOAT))"
         " AND (hook OR contrast OR payoff_cue OR repeated_claim OR exchange OR absolute_claim)"
     )

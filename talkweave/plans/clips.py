@@ -7,24 +7,17 @@ from pyspark.sql import functions as F
 
 from talkweave.functions.text import headline, quote_head, quote_tail
 from talkweave.operators.intervals import greedy_mark
-from talkweave.operators.segments import sentence_rows
-from talkweave.operators.signals import (
-    OVERLAP_REASON, SCORES_SQL, VALIDATION_SQL, absolute_claim, best_windows, rejections, scored, vague_opener, with_features,
-)
-from talkweave.sources.transcripts import documents_as_transcripts
+from talkweave.operators.signals import CUES, OVERLAP_REASON, SCORES_SQL, VALIDATION_SQL, document_windows, rejections, scored
+from talkweave.operators.windows import shown_of_texts
+from talkweave.sources.transcripts import WORD_MS, WORD_PITCH_MS
 
 #: Signals that a reason for selection names.
 TOLD = ["hook", "question_open", "contrast", "payoff_cue", "has_number", "repeated_claim", "exchange"]
 
 
-def sentence_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, duration_ms, parts): one row per document, sentences with their features."""
-    return with_features(sentence_rows(documents_as_transcripts(docs)))
-
-
 def candidates(docs: DataFrame) -> DataFrame:
     """All scored windows of all documents: numbers and flags only, as rows are grouped from here on."""
-    s = scored(best_windows(sentence_features(docs)))
+    s = scored(document_windows(docs))
     return s.select("doc_id", "duration_ms", F.col("s").alias("ord"), "s", "e", "start_ms", "end_ms", "end_score", "composite", *SCORES_SQL, *TOLD)
 
 
@@ -80,31 +73,16 @@ def _reason() -> Column:
 def presented(docs: DataFrame) -> DataFrame:
     """Proposals as a viewer sees them: (doc_id, proposal, headline, opening_quote, closing_quote, selection_reason).
 
-    The headline is the best of a window's first five sentences: one whose claim (three words or more)
-    another sentence of the window holds, an absolute claim, a question, a short one, no vague opener;
-    the last of equals. Proposals, numbers only, join their document's row once; texts are cut from it there.
+    The headline is the best of a window's first five sentences (:func:`windows.appealing`). Proposals, numbers
+    only, join their document's text once; sentences are made again of those documents alone.
     """
-    own = proposals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("proposal", "s", "e", *TOLD)).alias("proposals"))
-    rows = sentence_features(docs).join(own, "doc_id")
-    rows = rows.select("doc_id", F.inline(F.transform("proposals", lambda x: F.struct(x.alias("x"), F.slice("parts", x["s"] + 1, x["e"] - x["s"] + 1).alias("window")))))
-
-    def appeal(a, i):
-        elsewhere = F.exists(F.transform("window", lambda b, j: (j != i) & F.contains(b["claim"], a["claim"])), lambda hit: hit)
-        points = (
-            F.when((a["claim_words"] >= 3) & elsewhere, 5).otherwise(0)
-            + F.when(absolute_claim(a["low"], a["claim"]), 3).otherwise(0)
-            + F.when(F.contains(a["text"], F.lit("?")), 2).otherwise(0)
-            + F.when(a["n_words"].between(3, 16), 1).otherwise(0)
-            - F.when(vague_opener(a["low"]), 3).otherwise(0)
-        )
-        return F.struct(points.alias("points"), i.alias("i"), a["text"].alias("text"))
-
-    best = F.array_max(F.transform(F.slice("window", 1, 5), appeal))
-    return rows.withColumn("best", best["text"]).select(
+    own = proposals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("proposal", "s", "e", *TOLD)).alias("chosen"))
+    rows = shown_of_texts(docs.select("doc_id", "text").join(own, "doc_id"), CUES, WORD_PITCH_MS, WORD_MS)
+    return rows.select(
         "doc_id",
         "x.proposal",
         headline(F.col("best")).alias("headline"),
-        quote_head(F.get("window", F.lit(0))["text"]).alias("opening_quote"),
-        quote_tail(F.get("window", F.size("window") - 1)["text"]).alias("closing_quote"),
+        quote_head(F.col("opening")).alias("opening_quote"),
+        quote_tail(F.col("closing")).alias("closing_quote"),
         _reason().alias("selection_reason"),
     )

@@ -127,13 +127,9 @@ bw AS MATERIALIZED (SELECT doc_id, s, e, s_start AS start_ms, end_ms, end_score,
 )
 
 
-def _features(spark, sf_dir):
-    return signals.with_features(segments.sentence_rows(_transcripts(spark, sf_dir)))
-
-
 @query(f"WITH {_B} SELECT doc_id, s, e, start_ms, end_ms, CAST(end_score AS DOUBLE) AS end_score, payoff_cue FROM bw")
 def best_window_end(spark, sf_dir):
-    w = signals.best_windows(_features(spark, sf_dir))
+    w = signals.document_windows(_docs(spark, sf_dir))
     return w.select("doc_id", "s", "e", "start_ms", "end_ms", F.col("end_score").cast("double").alias("end_score"), "payoff_cue")
 
 
@@ -172,7 +168,7 @@ _SIGNALS = ["hook", "contrast", "payoff_cue", "reference", "pronoun_open", "vagu
 
 @query(f"WITH {_F} SELECT doc_id, s, e, {', '.join(_SIGNALS)}, CAST(fillers AS INT) AS fillers, CAST(words AS INT) AS words FROM f")
 def window_signals(spark, sf_dir):
-    w = signals.signals(signals.best_windows(_features(spark, sf_dir)))
+    w = signals.document_windows(_docs(spark, sf_dir))
     return w.select("doc_id", "s", "e", *_SIGNALS, F.col("fillers").cast("int").alias("fillers"), F.col("words").cast("int").alias("words"))
 
 
