@@ -113,8 +113,8 @@ def seconds(df):
     return time.time() - began
 
 
-@pytest.mark.parametrize("name", ["clips_presented"])
-def test_windows_take_no_longer_than_sentences(spark, talk, name):
+@pytest.mark.parametrize("name", ["clips_presented", "project_views"])
+def test_windows_take_little_longer_than_sentences(spark, talk, name):
     """Windows hold their sentences some ten times over; their signals must not be read as often."""
-    plain_time = max(seconds(registry.QUERIES["sentences_full"](spark, talk)) for _ in range(2))
-    assert min(seconds(registry.QUERIES[name](spark, talk)) for _ in range(2)) < 1.5 * plain_time
+    plain_time = min(seconds(registry.QUERIES["sentences_full"](spark, talk)) for _ in range(2))
+    assert min(seconds(registry.QUERIES[name](spark, talk)) for _ in range(2)) < 2.5 * plain_time
