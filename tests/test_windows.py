@@ -113,7 +113,7 @@ def seconds(df):
     return time.time() - began
 
 
-@pytest.mark.parametrize("name", ["clips_presented", "project_views", "proposals_greedy", "rubric_scores"])
+@pytest.mark.parametrize("name", ["clips_presented", "project_views", "proposals_greedy", "rubric_scores", "window_signals"])
 def test_windows_take_little_longer_than_sentences(spark, talk, name):
     """Windows hold their sentences some ten times over; their signals must not be read as often."""
     plain_time = min(seconds(registry.QUERIES["sentences_full"](spark, talk)) for _ in range(2))
