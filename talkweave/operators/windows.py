@@ -4,7 +4,8 @@ A window's signals are never read from its text. Each document is gone through o
 sentence where something begins notes the first sentence by which it has ended, and the least of these
 from a sentence on tells every window that starts there. So the work grows with the text, not with the
 windows, which overlap some ten times over. All arrays run on over the documents of a batch; what
-would cross into the next document ends after any window of the one before.
+would cross into the next document ends after any window of the one before. Cues are looked for over
+arrays of all characters, not sentence by sentence.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from talkweave.operators.segments import LEAST_MS, MOST_MS, PAUSE_MS, SENTENCE_B
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # so that executors need no copy of this library
 
-SLICE_BYTES = 4 << 20  # of text that is worked on at once
-SLICE_PAIRS = 1 << 20  # of starts and ends that are scored at once
+SLICE_BYTES = 1 << 20  # of text that is worked on at once
+SLICE_PAIRS = 1 << 16  # of starts and ends that are scored at once
 _SPACE = " \t\n\x0b\f\r"
 _TOKEN = re.compile(f"[^{_SPACE}]+")
 _MARKS = re.compile(r"^(?:(?!')[\W_])+|(?:(?!')[\W_])+\Z")
 _ENDS = r"[.?!…][\"')\]]*$"
+_LAST = np.isin(np.arange(256), list(".?!\"')]".encode() + "…".encode()[-1:]))  # bytes that _ENDS can end with
+_POINTING = ["that", "this", "those"]
 
 
 @dataclass
@@ -62,15 +65,24 @@ def _sums(x) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
 
 
+def _last_bytes(words: pa.Array) -> np.ndarray:
+    """The last byte of each of ``words``, none of which is empty."""
+    _, offsets, data = words.buffers()
+    upto = np.frombuffer(offsets, np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+    return np.frombuffer(data, np.uint8)[upto - 1]
+
+
 def split(words: pa.Array, first: np.ndarray, start: np.ndarray, end: np.ndarray, most_bytes: int | None = SENTENCE_BYTES) -> Sentences:
     """Sentences by the rules of :func:`segments.sentence_spans`; ``first`` has each document's first word."""
     if not len(words):
         return Sentences(pa.array([], pa.string()), start, end, np.zeros(len(first), dtype=np.int64))
-    ends = _flags(pc.match_substring_regex(words, _ENDS))
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = _LAST[_last_bytes(words)]
+    ends[ends] = _flags(pc.match_substring_regex(words.filter(pa.array(ends)), _ENDS))
     ends[first[1:][np.diff(first) > 0] - 1] = True
     ends[:-1] |= start[1:] - end[:-1] >= PAUSE_MS
     if most_bytes:
-        run = _sums(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        run = _sums(size + 1)
         last = np.flatnonzero(ends)
         begin = np.concatenate(([0], last[:-1] + 1))
         long = run[last + 1] - run[begin] >= most_bytes
@@ -87,14 +99,24 @@ def split(words: pa.Array, first: np.ndarray, start: np.ndarray, end: np.ndarray
 def split_texts(texts: pa.Array, pitch_ms: int, word_ms: int) -> Sentences:
     """Sentences of whole texts whose words are spoken at a fixed pitch."""
     listed = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    words, owner = listed.flatten(), pc.list_parent_indices(listed)
-    full = pc.greater(pc.binary_length(words), 0)
-    words, owner = words.filter(full), owner.filter(full).to_numpy(zero_copy_only=False)
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    start = (np.arange(len(words), dtype=np.int64) - first[owner]) * pitch_ms
+    words = listed.flatten().cast(pa.string())
+    full = _flags(pc.greater(pc.binary_length(words), 0))
+    words = words.filter(pa.array(full))
+    first = _sums(full)[_sums(pc.list_value_length(listed).to_numpy(zero_copy_only=False))]
+    start = (np.arange(len(words), dtype=np.int64) - np.repeat(first[:-1], np.diff(first))) * pitch_ms
     return split(words, first, start, start + word_ms)
 
 
+def _length_scores() -> np.ndarray:
+    """What a window's length adds to its score, by ms from LEAST_MS - 1 to MOST_MS + 1; lengths at both ends don't fit."""
+    f = np.float32
+    seconds = (np.arange(LEAST_MS - 1, MOST_MS + 2).astype(f).astype(np.float64) / 1000).astype(f)
+    off = np.minimum((np.abs(seconds - f(45)).astype(np.float64) / 45).astype(f), f(1))
+    out = f(1) - off * f(0.6)
+    out[[0, -1]] = -np.inf
+    return out
+
+
 def _best_ends(x: Sentences, terminal: np.ndarray, payoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, score) of the best end, 20 to 90 s later, of each sentence that has one; the first of equals."""
     n, f = len(x.start), np.float32
@@ -109,27 +131,27 @@ def _best_ends(x: Sentences, terminal: np.ndarray, payoff: np.ndarray) -> tuple[
     low = np.maximum(np.searchsorted(np.maximum.accumulate(at), here + LEAST_MS), np.arange(n))
     high = np.minimum(np.searchsorted(np.minimum.accumulate(at[::-1])[::-1], here + MOST_MS, "right"), x.first[1:][doc])
     size = np.maximum(high - low, 0)
+    own = np.flatnonzero(size)
+    low, size = low[own], size[own]
     upto = _sums(size)
+    by_length = _length_scores()
     s, e, score = [], [], []
     a = 0
-    while a < n:
+    while a < len(own):
         b = max(int(np.searchsorted(upto, upto[a] + SLICE_PAIRS, "right")) - 1, a + 1)
-        i = np.repeat(np.arange(a, b), size[a:b])
-        j = np.arange(len(i)) - np.repeat(upto[a:b] - upto[a], size[a:b]) + np.repeat(low[a:b], size[a:b])
-        length = x.end[j] - x.start[i]
-        fits = (length >= LEAST_MS) & (length <= MOST_MS)
-        i, j, length = i[fits], j[fits], length[fits]
-        if len(i):
-            seconds = (length.astype(f).astype(np.float64) / 1000).astype(f)
-            off = np.minimum((np.abs(seconds - f(45)).astype(np.float64) / 45).astype(f), f(1))
-            each = base[j] + (f(1) - off * f(0.6))
-            heads = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-            top = np.repeat(np.maximum.reduceat(each, heads), np.diff(np.append(heads, len(i))))
-            won = np.flatnonzero(each == top)
-            won = won[np.concatenate(([True], i[won][1:] != i[won][:-1]))]
-            s.append(i[won])
-            e.append(j[won])
-            score.append(each[won])
+        heads, many = upto[a:b] - upto[a], size[a:b]
+        j = np.repeat(low[a:b] - heads, many)
+        j += np.arange(len(j))
+        length = x.end[j]
+        length -= np.repeat(x.start[own[a:b]] + (LEAST_MS - 1), many)
+        each = base[j] + by_length[np.clip(length, 0, len(by_length) - 1, out=length)]
+        top = np.maximum.reduceat(each, heads)
+        won = np.flatnonzero(each == np.repeat(top, many))
+        i = np.searchsorted(heads, won, "right") - 1
+        one = np.concatenate(([True], i[1:] != i[:-1])) & (top[i] > -np.inf)
+        s.append(own[a:b][i[one]])
+        e.append(j[won[one]])
+        score.append(top[i[one]])
         a = b
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *s]), np.concatenate([none, *e]), np.concatenate([none.astype(f), *score])
@@ -140,27 +162,139 @@ def _points(low: str) -> bool:
     return "that" in low or "this" in low or "those" in low or " it " in low or low.startswith("it ")
 
 
-class _Text:
-    """Sentences' lower-case texts run together by single spaces, as in a window, with the sentence of each place."""
+def _chars(codes: np.ndarray) -> np.ndarray:
+    """Characters as bytes, 255 for what is beyond; cues are ASCII."""
+    return np.minimum(codes, 255).astype(np.uint8)
+
+
+def _fours(chars: np.ndarray) -> np.ndarray:
+    """At each place the four characters from there on, as one number; the last three places have none."""
+    return np.ndarray(len(chars) - 3, "<u4", chars, strides=(1,)).copy()
+
 
-    def __init__(self, low: list[str]):
-        self.own = np.array([i for i, t in enumerate(low) if t], dtype=np.int64)
-        self.all = " ".join(t for t in low if t)
-        self.pos = _sums([len(low[i]) + 1 for i in self.own])[:-1]
+def _hashed(fours: np.ndarray) -> np.ndarray:
+    return (fours * np.uint32(2654435761)) >> np.uint32(16)
 
-    def hits(self, cues: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Every place of every cue: the sentence in which it begins and that in which it ends. The space
+
+def _key(part: str) -> int:
+    return int.from_bytes(part.encode("ascii"), "little")
+
+
+def _standing(fours: np.ndarray, at: np.ndarray, begins: np.ndarray, cue: str) -> np.ndarray:
+    """Those of the places ``at``, by number, at which the cue stands; ``begins`` has the four characters there."""
+    mask = np.uint32((1 << 8 * min(len(cue), 4)) - 1)
+    left = np.flatnonzero(begins & mask == np.uint32(_key(cue[:4])))
+    for k in [*range(4, len(cue) - 4, 4), len(cue) - 4]:
+        if k > 0:
+            left = left[fours[at[left] + k] == np.uint32(_key(cue[k : k + 4]))]
+    return left
+
+
+class _Text:
+    """Sentences' lower-case texts run together by single spaces, as in a window: arrays over all characters, between
+    spaces at both ends. ``first`` has each sentence's first place (one more at the end), ``end`` that after its last."""
+
+    PAD = 64  # more than any cue has
+
+    def __init__(self, text: pa.Array):
+        size = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+        full = text if size.all() else text.filter(pa.array(size > 0))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(full)], pa.int32()), full), " ")[0].as_py()
+        self.low = " " + joined.lower() + " " * self.PAD
+        if len(self.low) != 1 + len(joined) + self.PAD:
+            size[size > 0] = [len(t.lower()) for t in full.to_pylist()]
+        self.first = 1 + _sums(size + (size > 0))
+        self.end = self.first[:-1] + size
+        self.codes = np.frombuffer(self.low.encode("utf-32-le"), "<u4")
+        self.chars = _chars(self.codes)
+        self.fours = _fours(self.chars)
+        self.space = (self.chars == 32) | (self.chars - np.uint8(9) < 5)
+        turns = np.flatnonzero(self.space[1:] != self.space[:-1]) + 1
+        self.words, self.word_ends = turns[::2], turns[1::2]
+
+    def upto(self, places: np.ndarray) -> np.ndarray:
+        """How many of the places lie before each sentence, and in all."""
+        return np.searchsorted(places, self.first)
+
+    def sentence(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first[:-1], places, "right") - 1
+
+    def find(self, cues: list[str]) -> dict[str, np.ndarray]:
+        """Every place of every cue."""
+        some = np.zeros(1 << 16, dtype=bool)
+        some[_hashed(np.array([_key(c[:4]) for c in cues if len(c) >= 4], dtype=np.uint32))] = True
+        likely = np.flatnonzero(some[_hashed(self.fours[: len(self.low) - self.PAD])])
+        begins = self.fours[likely]
+        last = len(self.low) - self.PAD
+        out = {}
+        for cue in dict.fromkeys(cues):
+            if len(cue) < 4:
+                at = np.flatnonzero(self.fours & np.uint32((1 << 8 * len(cue)) - 1) == np.uint32(_key(cue)))
+            else:
+                at = likely[_standing(self.fours, likely, begins, cue)]
+            out[cue] = at[at + len(cue) <= last]
+        return out
+
+    def spans(self, found: dict[str, np.ndarray], cues: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sentence in which each place of the cues begins and that in which it ends. The space
         before a sentence is there only with that sentence."""
-        starts, ends = [], []
+        begin = np.concatenate([found[c] for c in cues])
+        end = np.concatenate([found[c] + len(c) - 1 for c in cues])
+        return self.sentence(begin), np.searchsorted(self.first[:-1] - 1, end, "right") - 1
+
+    def opens(self, at: np.ndarray, end: np.ndarray, cues: list[str], whole: bool = False) -> np.ndarray:
+        """Whether some cue stands at each place and ends by ``end``; ``whole``: before white space."""
+        out = np.zeros(len(at), dtype=bool)
+        begins = self.fours[at]
         for cue in cues:
-            p = self.all.find(cue)
-            while p >= 0:
-                starts.append(p)
-                ends.append(p + len(cue) - 1)
-                p = self.all.find(cue, p + 1)
-        i = np.searchsorted(self.pos, np.array(starts, dtype=np.int64), "right") - 1
-        j = np.searchsorted(self.pos - 1, np.array(ends, dtype=np.int64), "right") - 1
-        return self.own[i], self.own[j]
+            some = _standing(self.fours, at, begins, cue)
+            some = some[at[some] + len(cue) <= end[some]]
+            out[some[self.space[at[some] + len(cue)]] if whole else some] = True
+        return out
+
+
+class _Claims:
+    """Sentences' claims (letters and digits, runs of others as one space) run together, each word before a space.
+    ``first`` has each claim's first place and ``upto`` its first word (one more at the end)."""
+
+    def __init__(self, x: _Text):
+        held = (x.chars - np.uint8(97) < 26) | (x.chars - np.uint8(48) < 10)
+        beyond = np.flatnonzero(x.chars > 127)
+        kinds, which = np.unique(x.codes[beyond], return_inverse=True)
+        held[beyond] = _flags(pc.match_substring_regex(pa.array([chr(k) for k in kinds.tolist()], pa.string()), r"[\p{L}\p{N}]"))[which]
+        kept = held.copy()
+        kept[1:] |= held[:-1]
+        kept = np.flatnonzero(kept)
+        self.first = np.searchsorted(kept, x.first)
+        codes = np.where(held, x.codes, np.uint32(32))[kept]
+        chars = _chars(np.pad(codes, (0, _Text.PAD)))
+        self.fours = _fours(chars)
+        spaces = np.flatnonzero(chars == 32)
+        self.words = np.concatenate(([0], spaces + 1))[:-1]
+        self.upto = np.searchsorted(self.words, self.first)
+        self.counts = np.diff(self.upto)
+        codes[self.first[self.first > 0] - 1] = 10
+        self.text = codes.astype("<u4").tobytes().decode("utf-32-le")
+        self.begins = self.fours[self.words]
+
+    def said(self, phrase: str) -> tuple[np.ndarray, np.ndarray]:
+        """How often the phrase in whole words has begun before each sentence, and how often it has ended."""
+        key = phrase + " "
+        at = self.words[_standing(self.fours, self.words, self.begins, key)]
+        return np.searchsorted(at, self.first), np.searchsorted(at + len(phrase) - 1, self.first)
+
+    def unique(self, doc: np.ndarray) -> np.ndarray:
+        """Claims that the twelve characters after their first word show to be held by no other of their document."""
+        out = np.zeros(len(self.counts), dtype=bool)
+        some = np.flatnonzero(self.counts >= 3)
+        second = self.upto[some] + 1
+        h = np.repeat(doc.astype(np.uint32) * np.uint32(0x9E3779B1), self.counts) ^ self.begins
+        for k in (4, 8):
+            h = (h * np.uint32(0x85EBCA6B)) ^ (h >> np.uint32(15)) ^ self.fours[self.words + k]
+        h = ((h * np.uint32(0x9E3779B1)) >> np.uint32(11)).astype(np.int64)
+        alone = np.bincount(h, minlength=1 << 21)[h[second]] == 1
+        out[some[alone & (self.first[some + 1] - 1 - self.words[second] >= 12)]] = True
+        return out
 
 
 def first_end(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -170,24 +304,24 @@ def first_end(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
-def _repeats(claims: list[str], counts: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def _repeats(claims: _Claims, doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """:func:`first_end` of pairs of claims, one of which (three words or more) holds the other, looked for only
     where a window holds both: from each the next that holds it, and the last before that does."""
-    n = len(claims)
+    n = len(doc)
     reach, back = np.full(n, -1), np.full(n, n)
     reach[s] = e
     np.minimum.at(back, e, s)
     reach, back = np.maximum.accumulate(reach), np.minimum.accumulate(back[::-1])[::-1]
-    text = "\n".join(claims)
-    pos = _sums([len(c) + 1 for c in claims]).tolist()
-    i, j = [], []
     whole = np.arange(n)
-    for k, r, b in zip(*(x[counts >= 3].tolist() for x in (whole, reach, back))):
-        claim = claims[k]
-        if r > k and (p := text.find(claim, pos[k + 1], pos[r + 1] - 1)) >= 0:
+    sought = (claims.counts >= 3) & ((reach > whole) | (back < whole)) & ~claims.unique(doc)
+    text, pos = claims.text, claims.first.tolist()
+    i, j = [], []
+    for k, r, b in zip(*(x[sought].tolist() for x in (whole, reach, back))):
+        claim = text[pos[k] : pos[k + 1] - 1]
+        if r > k and (p := text.find(claim, pos[k + 1], max(pos[r + 1] - 1, 0))) >= 0:
             i.append(k)
             j.append(bisect_right(pos, p) - 1)
-        if b < k and (p := text.rfind(claim, pos[b], pos[k] - 1)) >= 0:
+        if b < k and (p := text.rfind(claim, pos[b], max(pos[k] - 1, 0))) >= 0:
             i.append(bisect_right(pos, p) - 1)
             j.append(k)
     return first_end(n, np.array(i, dtype=np.int64), np.array(j, dtype=np.int64))
@@ -202,57 +336,56 @@ COLUMNS = (
 
 def measured(x: Sentences, cues: dict[str, list[str]]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Each window's document, and its columns. ``cues`` has the lists of ``operators.signals`` by name."""
-    text = x.text.to_pylist()
-    n = len(text)
-    low = [t.lower() for t in text]
-    lowered = pa.array(low, pa.string())
-    run = _Text(low)
-    pay = run.hits(cues["payoff"])
+    n = len(x.start)
+    text = _Text(x.text)
+    claims = _Claims(text)
+    found = text.find([*_POINTING, " it ", *(c for k in ("payoff", "contrast", "reference", "housekeeping", "absolute") for c in cues[k])])
+    i, j = text.spans(found, cues["payoff"])
     pays = np.zeros(n, dtype=bool)
-    pays[pay[0][pay[0] == pay[1]]] = True
-    s, e, score = _best_ends(x, _flags(pc.match_substring_regex(pc.utf8_rtrim(x.text, characters=" "), "[.?!…]$")), pays)
+    pays[i[i == j]] = True
+    last = text.end - 1
+    while (blank := (last >= text.first[:-1]) & (text.chars[last] == 32)).any():
+        last -= blank
+    s, e, score = _best_ends(x, np.isin(text.codes[last], [ord(c) for c in ".?!…"]) & (last >= text.first[:-1]), pays)
     doc = x.doc[s]
     head = x.first[:-1][doc]
 
-    def within(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return first_end(n, i, j)[s] <= e
-
-    # words of claims, one after another
-    claim = _claims(lowered)
-    claims = claim.to_pylist()
-    counts = np.array([c.count(" ") + 1 if c else 0 for c in claims], dtype=np.int64)
-    tokens = pc.split_pattern(claim.filter(pc.not_equal(claim, "")), " ").flatten()
-    phrases = {p: p.split() for p in [*cues["fillers"], *cues["absolute_phrases"]]}
-    names = sorted({w for p in phrases.values() for w in p})
-    code = pc.fill_null(pc.index_in(tokens, pa.array(names, pa.string())), -1).to_numpy(zero_copy_only=False)
-    upto = _sums(counts)
-    a, b = upto[s], upto[e + 1]
-
-    def said(phrase: str) -> np.ndarray:
-        """How often a window's claims, run together, say the phrase in whole words."""
-        parts = [names.index(w) for w in phrases[phrase]]
-        k = len(parts) - 1
-        at = np.ones(max(len(code) - k, 0), dtype=bool)
-        for d, c in enumerate(parts):
-            at &= code[d : len(code) - k + d] == c
-        total = np.pad(_sums(at), (0, k), "edge")
-        return total[np.maximum(b - k, a)] - total[a]
-
-    absolute = np.zeros(n, dtype=np.int64)
-    for i in set(run.hits(cues["absolute"])[0].tolist()):
-        absolute[i] = any(_MARKS.sub("", t) in cues["absolute"] for t in _TOKEN.findall(low[i]))
+    def within(kind: str) -> np.ndarray:
+        return first_end(n, *text.spans(found, cues[kind]))[s] <= e
+
+    def said(phrases: list[str]) -> np.ndarray:
+        """How often a window's claims, run together, say some of the phrases in whole words."""
+        total = np.zeros(len(s), dtype=np.int64)
+        for begun, ended in map(claims.said, phrases):
+            total += np.maximum(ended[e + 1] - begun[s], 0)
+        return total
+
+    absolute = np.zeros(n, dtype=bool)
+    for cue in cues["absolute"]:
+        at = found[cue]
+        plain = text.space[at - 1] & text.space[at + len(cue)]
+        absolute[text.sentence(at[plain])] = True
+        for w in set((np.searchsorted(text.words, at[~plain], "right") - 1).tolist()):
+            if _MARKS.sub("", text.low[text.words[w] : text.word_ends[w]]) in cues["absolute"]:
+                absolute[text.sentence(text.words[w])] = True
     absolute = _sums(absolute)
-    n_words = pc.count_substring_regex(x.text, pattern="[^\t\n\v\f\r ]+").to_numpy(zero_copy_only=False).astype(np.int64)
-    words = _sums(n_words)
-    digits = _sums(_flags(pc.match_substring_regex(lowered, "[0-9]")))
-    asks = np.array(["?" in t for t in text], dtype=bool)
+    words = text.upto(text.words)
+    n_words = np.diff(words)
+    digits = text.upto(np.flatnonzero(text.chars - np.uint8(48) < 10))
+    asks = np.diff(text.upto(np.flatnonzero(text.chars == ord("?")))) > 0
     reacts = np.zeros(n, dtype=bool)
     reacts[:-1] = asks[:-1] & (n_words[1:] <= 12) & (x.start[1:] - x.end[:-1] <= 1500)
     reacts = _sums(reacts)
-    hooks, pronouns, questions = tuple(cues["hook"]), frozenset(cues["pronouns"]), frozenset(["what", "why", "how", "who", "when"])
-    opener = [low[i] for i in s.tolist()]
-    first = [m[0] if (m := _TOKEN.search(o)) else "" for o in opener]
-    vague = (n_words[s] <= 9) & np.array([_points(o) for o in opener], dtype=bool)
+    points = np.zeros(n, dtype=bool)
+    for cue in _POINTING:
+        points[text.sentence(found[cue])] = True
+    at = found[" it "] + 1
+    i = text.sentence(at)
+    points[i[at + 2 < text.end[i]]] = True
+    vague = ((n_words <= 9) & points)[s]
+    opener, end = text.first[s], text.end[s]
+    first = np.append(text.words, 0)[words[s]]
+    first = np.where(n_words[s] > 0, first, end)
     before = np.maximum(e - 1, head)
     return doc, {
         "s": s - head,
@@ -262,18 +395,18 @@ def measured(x: Sentences, cues: dict[str, list[str]]) -> tuple[np.ndarray, dict
         "end_score": score,
         "payoff_cue": pays[e] | pays[before],
         "words": np.maximum(words[e + 1] - words[s], 1),
-        "fillers": sum(said(f) for f in cues["fillers"]),
+        "fillers": said(cues["fillers"]),
         "vague_open": vague,
-        "hook": np.array([o.startswith(hooks) for o in opener], dtype=bool) | asks[s],
-        "contrast": within(*run.hits(cues["contrast"])),
-        "reference": within(*run.hits(cues["reference"])),
-        "pronoun_open": np.array([w in pronouns for w in first], dtype=bool) | vague,
-        "question_open": np.array([w in questions for w in first], dtype=bool) | asks[s],
+        "hook": text.opens(opener, end, cues["hook"]) | asks[s],
+        "contrast": within("contrast"),
+        "reference": within("reference"),
+        "pronoun_open": text.opens(first, end, cues["pronouns"], whole=True) | vague,
+        "question_open": text.opens(first, end, ["what", "why", "how", "who", "when"], whole=True) | asks[s],
         "has_number": digits[e + 1] > digits[s],
-        "repeated_claim": _repeats(claims, counts, s, e)[s] <= e,
+        "repeated_claim": _repeats(claims, x.doc, s, e)[s] <= e,
         "exchange": reacts[e] > reacts[s],
-        "absolute_claim": (absolute[e + 1] > absolute[s]) | (sum(said(p) for p in cues["absolute_phrases"]) > 0),
-        "housekeeping": within(*run.hits(cues["housekeeping"])),
+        "absolute_claim": (absolute[e + 1] > absolute[s]) | (said(cues["absolute_phrases"]) > 0),
+        "housekeeping": within("housekeeping"),
     }
 
 

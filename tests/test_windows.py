@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import time
 
 import numpy as np
@@ -118,3 +119,30 @@ def test_windows_take_little_longer_than_sentences(spark, talk, name):
     """Windows hold their sentences some ten times over; their signals must not be read as often."""
     plain_time = min(seconds(registry.QUERIES["sentences_full"](spark, talk)) for _ in range(2))
     assert min(seconds(registry.QUERIES[name](spark, talk)) for _ in range(2)) < 2.5 * plain_time
+
+
+def calls_made(f):
+    """How many functions are called from Python, those written in C included."""
+    made = [0]
+
+    def count(frame, event, arg):
+        made[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return made[0]
+
+
+def prose(said, n_docs=300, n_sentences=60):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(4, 9)))
+    return pa.array([" ".join(" ".join([word(), word(), *said, *(word() for _ in range(12))]) + "." for _ in range(n_sentences)) for _ in range(n_docs)], pa.string())
+
+
+def test_proposals_greedy_reads_no_sentence_alone():
+    """Texts are gone through as arrays: Python isn't called once a sentence (it was some ten times)."""
+    x = windows.split_texts(prose([]), 360, 300)
+    assert calls_made(lambda: windows.measured(x, CUES)) < len(x.start)
