@@ -146,3 +146,9 @@ def test_proposals_greedy_reads_no_sentence_alone():
     """Texts are gone through as arrays: Python isn't called once a sentence (it was some ten times)."""
     x = windows.split_texts(prose([]), 360, 300)
     assert calls_made(lambda: windows.measured(x, CUES)) < len(x.start)
+
+
+def test_rubric_scores_call_nothing_for_each_cue():
+    """Places of cues and of absolute words are found at once: Python isn't called for each of them."""
+    x = windows.split_texts(prose("so um like wrong never nobody actually lie but you know".split()), 360, 300)
+    assert calls_made(lambda: windows.measured(x, CUES)) < len(x.start)
